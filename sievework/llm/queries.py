@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import forms, leakage, lines, mixing, neardup
+from sievework.llm import encoding, forms, leakage, lines, mixing, neardup
 from sievework.session import table
 
 
@@ -39,6 +39,14 @@ def p4_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(pages).select("result_row_id", "clean_text", "lines_removed")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.found(table(spark, sf_dir, "corrected_name_variants"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repaired(table(spark, sf_dir, "corrected_name_variants"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -66,4 +74,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
