@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import encoding, forms, leakage, lines, mixing, neardup
+from sievework.llm import boilerplate, encoding, forms, leakage, lines, mixing, neardup
 from sievework.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.found(table(spark, sf_dir, "search_results"))
+
+
+def p1_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "search_results").select("result_row_id", "title", "content", "raw_content")
+    return boilerplate.main_body(pages)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = _captures(spark, sf_dir)
     return neardup.row_pairs(members, pairs)
@@ -74,4 +83,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_main_body, p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
