@@ -204,9 +204,10 @@ def outside(text: str, title: str, opening: str, weights: tuple[dict[str, float]
 
 
 def _sample(pages: DataFrame, row_id: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_PAGES`` titles and openings, the first by a hash of the row."""
-    rows = pages.where("content != '' AND title != ''").select("title", "content", F.xxhash64(row_id).alias("h")).orderBy("h", "title").limit(SAMPLE_PAGES).collect()
-    return [(r.title, r.content) for r in rows]
+    """At most ``SAMPLE_PAGES`` titles and openings: of each part of the hash range the page with the least hash."""
+    rows = pages.where("content != '' AND title != ''").select("title", "content", F.xxhash64(row_id).alias("h"))
+    least = rows.groupBy(F.pmod("h", F.lit(SAMPLE_PAGES)).alias("part")).agg(F.min("h").alias("h"))  # SAMPLE_PAGES rows
+    return sorted({(r.title, r.content) for r in rows.join(F.broadcast(least.select("h")), "h").select("title", "content").collect()})[:SAMPLE_PAGES]
 
 
 def outside_lines(pages: DataFrame, row_id: str = "result_row_id", title: str = "title", text: str = "raw_content", opening: str = "content") -> DataFrame:

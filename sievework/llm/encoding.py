@@ -14,6 +14,7 @@ for U+FFFD, which itself says that a character was lost; further columns are ign
 
 from __future__ import annotations
 
+import html
 import itertools
 import re
 import unicodedata
@@ -132,6 +133,7 @@ HYPOTHESES = [f"utf-8>{r}" for r in READERS] + SWAP_NAMES
 
 def explain(garbled: str, clean: str) -> list[str]:
     """The transformations that lead from clean to garbled, by alignment on the shared ASCII characters."""
+    garbled, clean = html.unescape(garbled), html.unescape(clean)
     if garbled == clean or RUN.sub("", garbled) != RUN.sub("", clean):
         return []
     a, b = re.split(r"([\x00-\x7f])", garbled), re.split(r"([\x00-\x7f])", clean)
@@ -188,7 +190,7 @@ def learn(records: DataFrame, names: DataFrame) -> DataFrame:
 
 def judged(records: DataFrame) -> DataFrame:
     """``name, repaired, chain, word, bare`` of each affected name; ``bare``: see ``affected``."""
-    names = records.select(F.explode(F.array("original_name", "corrected_name")).alias("name")).where(r"name RLIKE '[^\\x00-\\x7F]'").distinct()
+    names = records.select(F.explode(F.array("original_name", "corrected_name")).alias("name")).where(r"name RLIKE '[^\\x00-\\x7F]|&#'").distinct()
     names = written(names, "names")
     # at most one row a hypothesis
     known = {r.chain: r.support for r in learn(records, names).collect()}
@@ -196,36 +198,37 @@ def judged(records: DataFrame) -> DataFrame:
 
     def judge(b: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for name in b.name:
+        for said in b.name:
+            name = html.unescape(said)  # characters written as entities after they were garbled
             one_case = name == name.lower() or name == name.upper()
             hit, out, open_word = None, name, None
-            if whole := swapped(name, chains):
+            bits = re.split(r"([^\x00-\x7f]+)", name)
+            if got := restored(bits[1::2], chains, one_case):
+                hit, sure = got[1], False
+                for i, text in enumerate(got[0]):
+                    if text is not None:
+                        run, k = bits[2 * i + 1], 2 * i + 1
+                        # a good letter and a closing sign may look like a garbled letter
+                        if len(run) == 2 and run[1] in SIGNS and (not bits[k + 1] or bits[k + 1][0] == " "):
+                            open_word = re.split(r"\s", "".join(bits[:k]))[-1] + run[0]
+                        else:
+                            sure = True
+                        bits[k] = text
+                out = "".join(bits)
+                open_word = None if sure else open_word
+            elif whole := swapped(name, chains):
                 hit, out = whole[1], whole[0]
-            else:
-                bits = re.split(r"([^\x00-\x7f]+)", name)
-                if got := restored(bits[1::2], chains, one_case):
-                    hit, sure = got[1], False
-                    for i, text in enumerate(got[0]):
-                        if text is not None:
-                            run, k = bits[2 * i + 1], 2 * i + 1
-                            # a good letter and a closing sign may look like a garbled letter
-                            if len(run) == 2 and run[1] in SIGNS and (not bits[k + 1] or bits[k + 1][0] == " "):
-                                open_word = re.split(r"\s", "".join(bits[:k]))[-1] + run[0]
-                            else:
-                                sure = True
-                            bits[k] = text
-                    out = "".join(bits)
-                    open_word = None if sure else open_word
-                # the second half of a letter became a blank: a capital inside or alone before a small letter
-                elif not one_case and (m := re.search(r"(?:(?<=[a-z])|(?<=\s)|^)([^\x00-\x7f]) (?=[a-z])", name)) and m[1].isupper():
-                    if fits := [c for c in chains if c.startswith("utf-8>") and (t := undo(m[1] + "\xa0", c)) and sane(t)]:
-                        hit, out = fits[0], name[: m.start(1)] + undo(m[1] + "\xa0", fits[0]) + name[m.end(1) + 1 :]
+            # the second half of a letter became a blank: a capital inside or alone before a small letter
+            elif not one_case and (m := re.search(r"(?:(?<=[a-z])|(?<=\s)|^)([^\x00-\x7f]) (?=[a-z])", name)) and m[1].isupper():
+                if fits := [c for c in chains if c.startswith("utf-8>") and (t := undo(m[1] + "\xa0", c)) and sane(t)]:
+                    hit, out = fits[0], name[: m.start(1)] + undo(m[1] + "\xa0", fits[0]) + name[m.end(1) + 1 :]
             if LOST in name:
                 hit, open_word = hit or "lost", None
             if hit:
-                rows.append((name, out, hit, open_word))
+                rows.append((said, out, hit, open_word))
         return pd.DataFrame(rows, columns=["name", "repaired", "chain", "open_word"])
 
+    # names spread evenly: undoing is the work
     return _map(judge, "name string, repaired string, chain string, open_word string")(names)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import boilerplate, encoding, forms, leakage, lines, mixing, neardup
+from sievework.llm import boilerplate, encoding, forms, leakage, lines, mixing, names, neardup
 from sievework.session import table
 
 
@@ -20,6 +20,14 @@ def p1_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_body(pages)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(table(spark, sf_dir, "brand_accumulators"), table(spark, sf_dir, "candidate_hygiene_audit"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.clusters(table(spark, sf_dir, "brand_accumulators"), table(spark, sf_dir, "candidate_hygiene_audit"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = _captures(spark, sf_dir)
     return neardup.row_pairs(members, pairs)
@@ -83,4 +91,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_main_body, p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_clusters, p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
