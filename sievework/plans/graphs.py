@@ -1 +1,65 @@
-"""To come."""
+"""Queries of similarity and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.operators import relops
+from sievework.operators.graph import components
+from sievework.operators.similarity import order_similarity, overlap, set_pairs
+from sievework.plans.registry import query
+from sievework.session import table
+
+
+@query("""
+WITH s AS (SELECT DISTINCT query_id AS o, canonical_hostname AS e FROM search_results WHERE query_id IS NOT NULL AND canonical_hostname IS NOT NULL), z AS (SELECT o, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.o AS a, y.o AS b, count(*) AS common FROM s x JOIN s y ON x.e = y.e AND x.o < y.o GROUP BY 1, 2)
+SELECT a, b, common, round(common / (u.n + v.n - common)::DOUBLE, 6) AS jaccard FROM p JOIN z u ON u.o = a JOIN z v ON v.o = b""")
+def query_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard similarity of the host sets of every two queries; there are as many pairs as pairs of planned queries."""
+    r = table(spark, d, "search_results").where("query_id IS NOT NULL")
+    p = set_pairs(r, "query_id", "canonical_hostname")
+    return p.select("a", "b", "common", F.round(F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 6).alias("jaccard"))
+
+
+@query("""
+WITH k AS (SELECT b.brand_id, b.canonical_brand, d.dom FROM brand_accumulators b, unnest(b.domains) d(dom)),
+n AS (SELECT DISTINCT canonical_brand AS brand, dom FROM k),
+f AS (SELECT canonical_brand, source_count, brand_id FROM brand_accumulators)
+SELECT dom AS domain, count(*) AS brands, min(brand) AS first_brand FROM n GROUP BY 1 HAVING count(*) > 1""")
+def brand_domain_bridges(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "brand_accumulators").select("canonical_brand", F.explode("domains").alias("domain"))
+    return relops.shared_values(b, "canonical_brand", "domain").select("domain", F.col("owners").alias("brands"), F.col("first_owner").alias("first_brand"))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT DISTINCT canonical_hostname AS h, sha256(content) AS c FROM search_results WHERE canonical_hostname IS NOT NULL AND length(content) >= 80),
+e AS (SELECT DISTINCT a.h AS x, b.h AS y FROM n a JOIN n b USING (c)),
+r(h, l) AS (SELECT h, h FROM n UNION SELECT r.h, e.y FROM r JOIN e ON e.x = r.l)
+SELECT h AS host, min(l) AS component FROM r GROUP BY 1""")
+def independence_components(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts tied by equal content. A text links its hosts as a star around its least host, never as all pairs."""
+    n = table(spark, d, "search_results").where("canonical_hostname IS NOT NULL AND length(content) >= 80").select(F.col("canonical_hostname").alias("h"), F.sha2("content", 256).alias("c")).distinct()
+    star = n.join(n.groupBy("c").agg(F.min("h").alias("low")), "c").select(F.col("h").alias("a"), F.col("low").alias("b"))
+    return components(star).select(F.col("id").alias("host"), "component")
+
+
+@query()
+def ordered_replicas(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of different hosts whose ordered name lists overlap by 0.6 or more, with the similarity of their order.
+
+    Distinct lists of three names or more are compared, joined on their names; names on too many lists still join, as AQE splits
+    them, but copies of one list are one row.
+    """
+    m = table(spark, d, "raw_brand_mentions").where("normalized_name IS NOT NULL AND domain IS NOT NULL")
+    per = m.groupBy("page_row_id").agg(F.min("domain").alias("domain"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("mention_position", "mention_row_id", "normalized_name"))), lambda x: x["normalized_name"])).alias("names")).where(F.size("names") >= 3)
+    lists = per.groupBy("names").agg(F.min("page_row_id").alias("page"), F.min("domain").alias("domain"), F.count("*").alias("pages"))
+    # two lists that overlap by 0.6 share one of the rarest names of either: a prefix filter keeps common names from pairing all
+    df = lists.select(F.explode("names").alias("n")).groupBy("n").agg(F.count("*").alias("df"))
+    rare = lists.select("page", F.size("names").alias("k"), F.explode("names").alias("n")).join(df, "n").groupBy("page", "k").agg(F.array_sort(F.collect_list(F.struct("df", "n"))).alias("by_df"))
+    heads = rare.select("page", F.explode(F.slice("by_df", F.lit(1), F.col("k") - F.ceil(0.6 * F.least("k", F.lit(3))).cast("int") + 1)).alias("r")).select("page", F.col("r.n").alias("n"))
+    pairs = heads.alias("x").join(heads.alias("y"), F.expr("x.n = y.n AND x.page < y.page")).select(F.col("x.page").alias("a"), F.col("y.page").alias("b")).distinct()
+    side = lambda c, k: lists.select(F.col("page").alias(c), F.col("names").alias("n" + k), F.col("domain").alias("d" + k))
+    both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where("d1 != d2").withColumn("overlap", overlap(F.col("n1"), F.col("n2"))).where("overlap >= 0.6")
+    return both.select("a", "b", F.round("overlap", 6).alias("overlap"), F.round(order_similarity(F.col("n1"), F.col("n2")), 6).alias("order_similarity"))

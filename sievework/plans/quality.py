@@ -1 +1,86 @@
-"""To come."""
+"""Queries of contracts, closure, digests, and round trips through the formats."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.operators import quality
+from sievework.plans.registry import query
+from sievework.session import shared_dir, table
+from sievework.sources import io
+
+CHECKED = (("search_results", "result_row_id", ("result_id", "query_id")), ("raw_brand_mentions", "mention_row_id", ("raw_name", "page_row_id")), ("brand_accumulators", "brand_id", ("canonical_brand",)),
+           ("candidate_hygiene_audit", "candidate_id", ("original_name",)), ("query_plan", "query_id", ("lang",)), ("documents", "doc_id", ("text",)))
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, (SELECT count(*) FROM (SELECT {k} FROM {t} WHERE {k} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys, ({' + '.join(f'count_if({c} IS NULL)' for c in cs)})::BIGINT AS missing_values FROM {t}" for t, k, cs in CHECKED))
+def row_contracts(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t, k, cs in CHECKED:
+        one = quality.contract(table(spark, d, t), t, k, list(cs))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+SELECT 'candidate' AS kind, candidate_id AS owner, ref FROM (SELECT DISTINCT candidate_id, unnest(supporting_row_ids) AS ref FROM candidate_hygiene_audit) WHERE ref NOT IN (SELECT mention_row_id FROM raw_brand_mentions)
+UNION ALL SELECT 'mention', mention_row_id::VARCHAR, ref FROM (SELECT DISTINCT mention_row_id, unnest(supporting_row_ids) AS ref FROM raw_brand_mentions) WHERE ref NOT IN (SELECT result_row_id FROM search_results)
+UNION ALL SELECT 'page', mention_row_id::VARCHAR, page_row_id FROM raw_brand_mentions WHERE page_row_id IS NOT NULL AND page_row_id NOT IN (SELECT result_row_id FROM search_results)""")
+def referential_closure(spark: SparkSession, d: str) -> DataFrame:
+    m, r = table(spark, d, "raw_brand_mentions"), table(spark, d, "search_results")
+    parts = (("candidate", table(spark, d, "candidate_hygiene_audit"), "candidate_id", "supporting_row_ids", m, "mention_row_id"), ("mention", m, "mention_row_id", "supporting_row_ids", r, "result_row_id"))
+    out = None
+    for kind, refs, owner, ids, to, to_id in parts:
+        one = quality.dangling(refs, owner, ids, to, to_id).select(F.lit(kind).alias("kind"), F.col(owner).cast("string").alias("owner"), "ref")
+        out = one if out is None else out.unionByName(one)
+    page = m.select("mention_row_id", F.array("page_row_id").alias("p")).where("p[0] IS NOT NULL")
+    return out.unionByName(quality.dangling(page, "mention_row_id", "p", r, "result_row_id").select(F.lit("page").alias("kind"), F.col("mention_row_id").cast("string").alias("owner"), "ref"))
+
+
+_DIGEST = "sha256(concat_ws('|', coalesce(included_in_metrics::VARCHAR, '<null>'), " + ", ".join(f"coalesce({c}::VARCHAR, '<null>')" for c in ("lang", "plan_seq", "query_id", "query_text", "region_code")) + "))"
+
+
+@query(f"""
+SELECT 'query_plan' AS table_name, count(*) AS rows, min(x) AS least, max(x) AS greatest FROM (SELECT {_DIGEST} AS x FROM query_plan)""")
+def table_digest(spark: SparkSession, d: str) -> DataFrame:
+    """A digest that doesn't depend on the order of rows or columns."""
+    return quality.digest(table(spark, d, "query_plan").drop("category"), "query_plan")
+
+
+@query("SELECT query_id, plan_seq, region_code, lang, category, query_text, included_in_metrics FROM query_plan")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_plan")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    io.write_csv(q, path)
+    return io.read_csv(spark, path, q.schema)
+
+
+@query("SELECT mention_row_id, raw_name, domain, context FROM raw_brand_mentions")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "raw_brand_mentions").select("mention_row_id", "raw_name", "domain", "context")
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    io.write_jsonl(m, path)
+    return io.read_jsonl(spark, path, m.schema).drop("_corrupt_record")
+
+
+@query("SELECT brand_id, canonical_brand, source_count FROM brand_accumulators")
+def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "brand_accumulators").select("brand_id", "canonical_brand", "source_count")
+    path = f"{shared_dir(spark)}/xml-{uuid.uuid4().hex}"
+    io.write_xml(b, path, "brands", "brand")
+    return io.read_xml(spark, path, "brand", b.schema)
+
+
+@query("""
+SELECT query_id, len(list(result_row_id)) AS results, min(result_row_id) AS first_row, max(result_position) AS last_position FROM search_results WHERE query_id IS NOT NULL GROUP BY 1""")
+def envelope_results(spark: SparkSession, d: str) -> DataFrame:
+    """Rows packed into response envelopes of 50 results, written as JSON lines, and exploded again."""
+    r = table(spark, d, "search_results").where("query_id IS NOT NULL").select("query_id", "result_row_id", "result_position", "original_url", "title")
+    path = f"{shared_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    io.write_jsonl(io.pack_envelopes(r, "query_id", "result_row_id", 50), path)
+    e = io.explode_envelopes(io.read_jsonl(spark, path, io.envelope_schema(r, "query_id", "result_row_id")), "query_id")
+    return e.groupBy("query_id").agg(F.count("*").alias("results"), F.min("result_row_id").alias("first_row"), F.max("result_position").alias("last_position"))
