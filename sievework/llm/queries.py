@@ -92,3 +92,32 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_clusters, p3_found, p3_links, p3_documents, p4_found, p4_clean_pages, p5_found, p5_repaired, p6_found, p6_proximity, p7_mix, p7_shares, p8_found, p8_forms)}
+
+
+_LINES = r"""
+WITH p AS (SELECT result_row_id, canonical_hostname AS h, canonical_url AS u, raw_content, string_split(raw_content, chr(10)) AS l FROM search_results WHERE raw_content <> ''),
+x AS (SELECT result_row_id, h, u, (i - 1)::INT AS line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS k FROM (SELECT result_row_id, h, u, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM p WHERE h IS NOT NULL)),
+r AS (SELECT h, k FROM x WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT u) >= 8),
+f AS (SELECT DISTINCT result_row_id, line_no FROM x JOIN r USING (h, k))"""
+
+_CAPTURES = r"""
+WITH w AS (SELECT result_row_id AS id, list_concat(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}]+'), c) AS w FROM (
+    SELECT *, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS c FROM search_results WHERE content IS NOT NULL) WHERE len(c) >= 12),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+f AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.5 * (x.n + y.n - k))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the problems that it can express; the others are tested against brute force."""
+    return {
+        "p3_found": _CAPTURES + " SELECT a AS row_a, b AS row_b FROM f",
+        "p3_links": _CAPTURES + """, k AS (SELECT id, array_to_string(w, ' ') AS t, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS class_size FROM w),
+            e AS (SELECT x.class_id AS c, count(DISTINCT y.class_id) AS links FROM (SELECT a, b FROM f UNION ALL SELECT b, a FROM f) JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.class_id <> y.class_id GROUP BY 1)
+            SELECT k.id AS row_id, k.class_id, class_size, coalesce(links, 0) AS links FROM k LEFT JOIN e ON e.c = k.class_id""",
+        "p4_found": _LINES + " SELECT * FROM f",
+        "p4_clean_pages": _LINES + """, g AS (SELECT result_row_id, list(line_no) AS gone FROM f GROUP BY 1)
+            SELECT s.result_row_id, array_to_string(CASE WHEN gone IS NULL THEN string_split(s.raw_content, chr(10)) ELSE list_filter(string_split(s.raw_content, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)) END, chr(10)) AS clean_text, coalesce(len(gone), 0) AS lines_removed
+            FROM search_results s LEFT JOIN g USING (result_row_id)""",
+    }
