@@ -14,6 +14,7 @@ the vocabulary from, the labelled lines alone train the weights; extra columns a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.labelled_pages import PAGES
+from sievework.llm.labelled_pages import FILLERS, PAGES
 
 #: Pages of the corpus, at most, whose title and opening go into the labelled pages.
 SAMPLE_PAGES = 400
 MIN_SCORE = 0.5
+#: Words on fewer lines than this share one weight, which is also that of words never seen.
+RARE, OTHER_WORD = 3, "~"
 #: Words alone never make a line of one or two words a part of the article.
 MOST_BY_WORDS = 2.0
 #: Lines whose score a task keeps at once; furniture recurs.
 KEPT = 100_000
 
 WORD = re.compile(r"[^\W\d_]+|\d+")
-EDGE = re.compile(r"^[\s\[»›•*+-]+|[\s\]»›!+]+$")
+#: Signs that only decorate the ends of a line.
+BEFORE, AFTER = " \t\xa0[»›•*+-", " \t\xa0]»›!+"
 HANDLE = re.compile(r"^\W*[^\W\d_]+\d+(?: says\b|:| [–—-] |\s*>)")
 NUMBERED = re.compile(r"^(?:#+ |=+ )?\d+[.)] \S")
 ROW = re.compile(r"^\W*\|? ?\d+ \|.*\d")
@@ -49,7 +53,7 @@ def key(text: str) -> str:
 
 def features(line: str) -> list[str]:
     """The words and tags of a line, but for what depends on the page's title."""
-    core = EDGE.sub("", line)
+    core = line.lstrip(BEFORE).rstrip(AFTER)
     words = WORD.findall(core.lower())
     for form, tag in ((ROW, "<row>"), (NUMBERED, "<numbered>"), (ITEM, "<item>")):
         if form.match(line if tag == "<row>" else core):
@@ -89,8 +93,10 @@ BLANK, OTHER, HEADLINE, BLURB, CLOSING = range(5)
 OWN = "<own>"
 
 
-def fit(rows: list[tuple[set[str], float]], rounds: int = 400) -> dict[str, float]:
+def fit(rows: list[tuple[set[str], float]], rounds: int = 500) -> dict[str, float]:
     """Weights by token, and the intercept under "", by logistic regression; both classes weigh the same."""
+    seen = Counter(t for f, _ in rows for t in f)
+    rows = [({t if t[0] == "<" or seen[t] >= RARE else OTHER_WORD for t in f}, v) for f, v in rows]
     names = sorted({t for f, _ in rows for t in f})
     at = {t: i for i, t in enumerate(names)}
     r = np.concatenate([np.full(len(f), i) for i, (f, _) in enumerate(rows)])
@@ -119,31 +125,32 @@ def train(sample: list[tuple[str, str]], seed: int = 5) -> tuple[dict[str, float
     body: list[tuple[set[str], float]] = []
     heads: list[tuple[set[str], float]] = []
     closing: list[tuple[set[str], float]] = []
-    fill = sample or [("Best guides of 2024: a sample and 3 more", "This sample text tells of a service that worked for a week on a box. It was slow at noon.")]
-    for k in range(max(40, min(len(fill), SAMPLE_PAGES))):
+    fill = [*FILLERS, *sample]
+    for k in range(max(3 * len(FILLERS), len(fill))):
         title, text = fill[k % len(fill)]
-        other = fill[(k * 7 + 3) % len(fill)][0]
         for page in PAGES if k < 8 else (PAGES[k % len(PAGES)],):
-            for line in page.strip().split("\n"):
-                mark, line = line[0], line[2:]
-                if k >= 8 and "@" not in line and rng.random() < 0.7:
+            for marked in page.strip().split("\n"):
+                mark, said = marked[0], marked[2:]
+                if k >= 8 and "@" not in said and rng.random() < 0.7:
                     continue
-                bare = line.lstrip("#=›- ")
+                bare = said.lstrip("#=›- ")
                 cut = text[: max(20, int(len(text) * rng.uniform(0.3, 0.9)))].rstrip(" .") + ("…" if rng.random() < 0.5 else "...")
                 part = re.split(r"(?<=\.) ", text)
-                line = line.replace("@text", " ".join(part[: rng.integers(1, len(part) + 1)])).replace("@title", title).replace("@other", other).replace("@cut", cut)
-                f = set(features(line))
-                heads.append((f, float(bare in ("@title", "@other"))))
-                if mark != "+":
-                    closing.append((f, float(mark == "=")))
-                body.append((f | ({OWN} if bare == "@title" else set()), float(mark == "+")))
+                said = said.replace("@text", " ".join(part[: rng.integers(1, len(part) + 1)])).replace("@title", title).replace("@cut", cut)
+                # several other titles, as pages tease more than they are
+                for other in [fill[i][0] for i in rng.integers(0, len(fill), 3)] if bare == "@other" else [""]:
+                    f = set(features(said.replace("@other", other)))
+                    heads.append((f, float(bare in ("@title", "@other"))))
+                    if mark != "+":
+                        closing.append((f, float(mark == "=")))
+                    body.append((f | ({OWN} if bare == "@title" else set()), float(mark == "+")))
     return fit(body), fit(heads), fit(closing)
 
 
 def score(tokens: list[str], weights: dict[str, float]) -> float:
     """Log-odds of a line to be main body."""
-    words = {t for t in tokens if t[0] != "<"}
-    total = weights[""] + sum(weights.get(t, 0.0) for t in set(tokens) - words)
+    words = {t if t in weights else OTHER_WORD for t in tokens if t[0] != "<"}
+    total = weights[""] + sum(weights.get(t, 0.0) for t in set(tokens) if t[0] == "<")
     return total + min(sum(weights.get(t, 0.0) for t in words) * 3.0 / max(len(words), 3), MOST_BY_WORDS)
 
 
@@ -229,7 +236,8 @@ def found(pages: DataFrame) -> DataFrame:
 
 
 def main_body(pages: DataFrame, row_id: str = "result_row_id", text: str = "raw_content") -> DataFrame:
-    """``result_row_id, main_text, lines_removed`` of every page; null texts stay null."""
-    out = outside_lines(pages)
-    kept = F.filter(F.split(F.regexp_replace(F.col(text), "\r", ""), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("lines", i), F.lit(False)) & x.rlike(r"[\p{L}\p{N}]"))
-    return pages.join(out, F.col(row_id) == F.col("row_id"), "left").select(row_id, F.array_join(kept, "\n").alias("main_text"), F.coalesce(F.size("lines"), F.lit(0)).alias("lines_removed"))
+    """``row_id, main_text, lines_removed`` of every page; null texts stay null."""
+    out = outside_lines(pages, row_id=row_id, text=text).select(F.col("row_id").alias("_id"), F.col("lines").alias("_gone"))
+    p = pages.select(F.col(row_id).alias("_row"), F.col(text).alias("_text"))
+    kept = F.filter(F.split(F.regexp_replace("_text", "\r", ""), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)) & x.rlike(r"[\p{L}\p{N}]"))
+    return p.join(out, F.col("_row") == F.col("_id"), "left").select(F.col("_row").alias(row_id), F.array_join(kept, "\n").alias("main_text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))

@@ -6,8 +6,8 @@ characters that can be seen in no font, yet also weighs some visible ones as equ
 form itself (the exact check).
 
 Defined cases: a null text keeps a null form and joins no group; empty texts form one group; texts equal as they stand
-are one variant; the canonical member is the variant with the fewest characters outside ASCII, then the most rows, then the smallest in
-code point order; a text of any length is mapped whole; extra columns of the input pass through ``consistent``.
+are one variant; the canonical member is a variant in composed form without unseen characters, if there is one, then the one with the fewest
+characters outside ASCII, then the most rows, then the smallest in code point order; a text of any length is mapped whole; extra columns of the input pass through ``consistent``.
 """
 
 from __future__ import annotations
@@ -15,25 +15,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.textnorm import read
+from sievework.llm.textnorm import read, seen
 from sievework.session import written
 
 
 def variants(docs: DataFrame, text: str) -> DataFrame:
     """``text_h, read_h, text, form, class_h`` of each distinct text, with the class and the canonical text's hash."""
     t = docs.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("v")).agg(F.count("*").alias("n"))
-    t = t.withColumn("r", read(F.col("v"))).withColumn("read_h", F.unhex(F.sha2("r", 256)))
-    t = written(t.select("v", "n", "r", "read_h"), "forms")
+    t = t.select("v", "n", read(F.col("v")).alias("r"), (seen(F.col("v")) != F.col("v")).alias("unclean")).withColumn("read_h", F.unhex(F.sha2("r", 256)))
+    t = written(t, "forms")
     odd = F.length(F.regexp_replace("v", r"[\x00-\x7F]+", ""))
     t = t.select("*", odd.alias("odd"), F.expr("collate(r, 'UNICODE')").alias("key"))
-    best = t.groupBy("key", "read_h").agg(F.min(F.struct("odd", (-F.col("n")).alias("rare"), "v")).alias("best"), F.count("*").alias("forms"))
+    best = t.groupBy("key", "read_h").agg(F.min(F.struct("unclean", "odd", (-F.col("n")).alias("rare"), "v")).alias("best"), F.count("*").alias("forms"))
     return best.select("read_h", F.col("best.v").alias("canonical"), "forms")
 
 
 def consistent(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``read_h`` (the class), ``canonical_text`` and ``forms`` (variants in its class)."""
-    marked = docs.withColumn("read_h", F.unhex(F.sha2(read(F.col(text)), 256)))
-    return marked.join(variants(docs, text), "read_h", "left").withColumnRenamed("canonical", "canonical_text")
+    """Every row of ``docs`` with ``read_h`` (the class), ``canonical_text`` and ``forms`` (variants in its class); columns of these names are replaced."""
+    marked = docs.drop("read_h", "canonical_text", "forms").withColumn("read_h", F.unhex(F.sha2(read(F.col(text)), 256)))
+    return marked.join(variants(docs, text).withColumnRenamed("canonical", "canonical_text"), "read_h", "left")
 
 
 def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 21) -> DataFrame:

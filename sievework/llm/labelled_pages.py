@@ -244,3 +244,20 @@ PAGES = [
 - © 2026 Sample Daily. Todos os direitos reservados.
 """,
 ]
+
+#: Titles and openings that stand in for ``@title`` and ``@text`` beside the corpus's own.
+FILLERS = [
+    ("Best guides of 2024 for a small flat: Sample Name and 12 more", "The sample box opened its menu in 40 seconds, and the picture stayed sharp. Nobody at the desk explained why a form advertised a second login for 9.50 EUR."),
+    ("31 services compared in the hills: Sample Name leads", "Between March and June the number of complaints rose to 58 with no reason given. A newsletter promised a refund for the coast, which a former agent found modest."),
+    ("Is Sample Name still slow in April 2025?", "Our reader answered within 12 hours and corrected the page. Two people in the city shared one account and still got the news without asking for papers."),
+    ("Sample Name and frozen pictures: what a regular found", "We compared an invoice with the help page and found 30 differences, most of them about weather. Where it scored well was radio; where it failed was the guide."),
+    ("Sample Name review 2023: children profiles for 12.20", "Cookies on the terms page expire after 20 days, which the panel found tidy. Paying 30.10 USD bought a long guide, a quiet ticket and wrong zones for most of the evening."),
+    ("Mejores servicios 2024: Sample Name y 20 más", "Con un televisor antiguo duró 40 minutos; luego hubo una pantalla congelada. El cupón cuesta 20.10 EUR e incluye canales de radio, pero un lector notó cortes en cada prueba."),
+    ("¿Es lento Sample Name en mayo?", "Según una clienta, el soporte atiende en 30 horas tras varios días. En julio el servicio pasó a la costa y quedó irregular según la factura."),
+    ("Meilleurs services 2024 : Sample Name et 20 autres", "Avec un boîtier, tout marche 40 minutes puis l’image se fige. Un lecteur promet un forfait modeste à 20.10 € sans explication, et notre équipe le juge lent."),
+    ("Sample Name reste-t-il cher en mai ?", "Notre équipe répond en 30 heures selon la facture. En juin, le serveur change pour la côte et reste cher à chaque essai."),
+    ("Beste Anbieter 2024: Sample Name und 20 weitere", "Mit einem Tablet lief es 40 Minuten, dann kam ein Standbild. Das Paket kostet 20.10 EUR mit Aufnahme, doch ein Leser meldet Aussetzer nach einer Woche."),
+    ("Ist Sample Name noch neu im Mai?", "Laut unser Team antwortet der Kundendienst in 30 Stunden. Im Juli zog das Portal nach der Küste und blieb knapp ohne Begründung."),
+    ("Melhores serviços 2024: Sample Name e 20 outros", "Com um tablet durou 40 minutos; depois imagem parada. O pacote custa 20.10 EUR com gravação, mas uma cliente notou falhas em cada ensaio."),
+    ("Sample Name continua caro em maio?", "Segundo um leitor, o suporte responde em 30 horas pelo mesmo preço. Em junho o servidor mudou para o vale e ficou lento sem explicação."),
+]

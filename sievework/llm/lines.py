@@ -69,8 +69,9 @@ def repeated_lines(pages: DataFrame, row_id: str = "result_row_id", source: str
 
 def without_repeated_lines(pages: DataFrame, row_id: str = "result_row_id", source: str = "canonical_hostname", url: str = "canonical_url",
                            text: str = "raw_content", min_urls: int = 8) -> DataFrame:
-    """Every row of ``pages`` with ``clean_text`` (the text without the repeated lines) and ``lines_removed``."""
-    h = hits(numbered(pages, row_id, source, url, text), min_urls).select(F.col("row_id").alias("_row"), "lines")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("lines", i), F.lit(False)))
-    return pages.join(h, F.col(row_id) == F.col("_row"), "left").select(
-        pages["*"], F.array_join(kept, "\n").alias("clean_text"), F.coalesce(F.size("lines"), F.lit(0)).alias("lines_removed"))
+    """Every row of ``pages`` with ``clean_text`` (the text without the repeated lines) and ``lines_removed``; columns of these names are replaced."""
+    h = hits(numbered(pages, row_id, source, url, text), min_urls).select(F.col("row_id").alias("_row"), F.col("lines").alias("_gone")).dropDuplicates(["_row"])
+    p = pages.drop("clean_text", "lines_removed", "_row", "_gone")
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    out = p.join(h, F.col(row_id) == F.col("_row"), "left")
+    return out.withColumn("clean_text", F.array_join(kept, "\n")).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_row", "_gone")

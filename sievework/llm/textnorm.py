@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 LOOK_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіјԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧο‐‑", "ABESIJKMHOPCTXaeopcyxsijqwhABEZHIKMNOPTYXo--", strict=True))
 TABLE = str.maketrans(LOOK_ALIKE)
 #: Default-ignorable and control characters, but for line ends, tabs and a joiner inside an emoji.
-UNSEEN = regex.compile(r"(?<=\p{Extended_Pictographic}️?)‍(?=\p{Extended_Pictographic})(*SKIP)(*FAIL)|[\p{Default_Ignorable_Code_Point}\p{Cf}]|(?![\t\n\r])\p{Cc}")
+UNSEEN = regex.compile(r"(?<=\p{Extended_Pictographic}\ufe0f?)\u200d(?=\p{Extended_Pictographic})(*SKIP)(*FAIL)|[\p{Default_Ignorable_Code_Point}\p{Cf}]|(?![\t\n\r])\p{Cc}")
 BLANK = regex.compile(r"[\t\p{Zs}]")
-ENDS = regex.compile(r"\r\n?|[  \u0085]")
+ENDS = regex.compile(r"\r\n?|[\u2028\u2029\u0085]")
 
 
 def seen_form(text: str) -> str:
