@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import quality
 from sievework.plans.registry import query
-from sievework.session import shared_dir, table
+from sievework.session import shared_path, table
 from sievework.sources import io
 
 CHECKED = (("search_results", "result_row_id", ("result_id", "query_id")), ("raw_brand_mentions", "mention_row_id", ("raw_name", "page_row_id")), ("brand_accumulators", "brand_id", ("canonical_brand",)),
@@ -54,7 +52,7 @@ def table_digest(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT query_id, plan_seq, region_code, lang, category, query_text, included_in_metrics FROM query_plan")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_plan")
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "csv")
     io.write_csv(q, path)
     return io.read_csv(spark, path, q.schema)
 
@@ -62,7 +60,7 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT mention_row_id, raw_name, domain, context FROM raw_brand_mentions")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "raw_brand_mentions").select("mention_row_id", "raw_name", "domain", "context")
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = shared_path(spark, "jsonl")
     io.write_jsonl(m, path)
     return io.read_jsonl(spark, path, m.schema).drop("_corrupt_record")
 
@@ -70,7 +68,7 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT brand_id, canonical_brand, source_count FROM brand_accumulators")
 def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "brand_accumulators").select("brand_id", "canonical_brand", "source_count")
-    path = f"{shared_dir(spark)}/xml-{uuid.uuid4().hex}"
+    path = shared_path(spark, "xml")
     io.write_xml(b, path, "brands", "brand")
     return io.read_xml(spark, path, "brand", b.schema)
 
@@ -80,7 +78,7 @@ SELECT query_id, len(list(result_row_id)) AS results, min(result_row_id) AS firs
 def envelope_results(spark: SparkSession, d: str) -> DataFrame:
     """Rows packed into response envelopes of 50 results, written as JSON lines, and exploded again."""
     r = table(spark, d, "search_results").where("query_id IS NOT NULL").select("query_id", "result_row_id", "result_position", "original_url", "title")
-    path = f"{shared_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    path = shared_path(spark, "envelopes")
     io.write_jsonl(io.pack_envelopes(r, "query_id", "result_row_id", 50), path)
     e = io.explode_envelopes(io.read_jsonl(spark, path, io.envelope_schema(r, "query_id", "result_row_id")), "query_id")
     return e.groupBy("query_id").agg(F.count("*").alias("results"), F.min("result_row_id").alias("first_row"), F.max("result_position").alias("last_position"))

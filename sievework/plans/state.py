@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import relops
 from sievework.plans.registry import query
-from sievework.session import shared_dir, table
+from sievework.session import shared_path, table
 from sievework.streaming import ledger
 
 _LAST = """
@@ -68,7 +66,7 @@ def early_stop(spark: SparkSession, d: str) -> DataFrame:
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger kept by a stateful stream, drained; the last update of each key stands."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ledger")
     ledger.drained_updates(ledger.live_states(_stream(spark, d)), path)
     u = spark.read.parquet(path)
     return u.groupBy("user_id").agg(*[F.max_by(c, F.col("batch")).alias(c) for c in ("events", "errors", "last_type", "last_ts")])
@@ -79,6 +77,6 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS events, r
 WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily windows of the stream that the watermark has closed."""
-    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    path = shared_path(spark, "windows")
     ledger.drained(ledger.windowed_counts(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))), path)
     return spark.read.parquet(path).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "events", F.round("total", 2).alias("total"))

@@ -12,13 +12,12 @@ NULL_MARK = "\\N"
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, null: str = NULL_MARK) -> DataFrame:
     """CSV with a header, quoted line ends and a byte-order mark or none."""
-    flat = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue=null, emptyValue="", encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return flat
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue=null, emptyValue="", encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
 def write_csv(df: DataFrame, path: str, null: str = NULL_MARK) -> None:
     """CSV part files with the frame's columns in order; the header is written even for no rows."""
-    df.write.csv(path, header=True, quote='"', escape='"', nullValue=null, emptyValue="", encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    df.write.csv(path, header=True, quote='"', escape='"', nullValue=null, encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from sievework.streaming import ledger
 
 
 def test_csv_keeps_nulls_empty_strings_quotes_and_line_ends(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, ""), (3, None)], "i int, s string")
+    df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, ""), (3, None), (4, "x")], "i int, s string")
     io.write_csv(df, str(tmp_path / "c"))
     assert sorted(io.read_csv(spark, str(tmp_path / "c"), df.schema).collect()) == sorted(df.collect())
     (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfi,s\n1,x\n")
@@ -56,7 +56,7 @@ def test_directory_fingerprint_ignores_order(spark, tmp_path):
 
 def test_written_tables_go_to_the_shared_folder(spark):
     df = written(spark.range(3).toDF("x"), "t")
-    assert df.count() == 3 and df.inputFiles()[0].startswith(shared_dir(spark).replace("file://", "file://"))
+    assert df.count() == 3 and shared_dir(spark).split("://")[-1] in df.inputFiles()[0]
 
 
 def test_ledger_and_budget(spark):
