@@ -75,13 +75,13 @@ def quality_levels_dense(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT canonical_hostname, count(*) AS captures, count(DISTINCT canonical_url) AS pages, count(DISTINCT query_id) AS queries, count_if(is_duplicate) AS flagged,
-    round(avg(tavily_score), 6) AS mean_score, arg_max(query_id, struct_pack(s := coalesce(tavily_score, -1), i := -result_row_id)) AS best_query
+    sum(round(tavily_score * 1000000)::BIGINT)::BIGINT // nullif(count(tavily_score), 0) AS mean_score_millionths, arg_max(query_id, struct_pack(s := coalesce(tavily_score, -1), i := -result_row_id)) AS best_query
 FROM search_results WHERE canonical_hostname IS NOT NULL GROUP BY 1""")
 def domain_productivity(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "search_results").where("canonical_hostname IS NOT NULL")
     return r.groupBy("canonical_hostname").agg(
         F.count("*").alias("captures"), F.count_distinct("canonical_url").alias("pages"), F.count_distinct("query_id").alias("queries"), F.count_if("is_duplicate").alias("flagged"),
-        F.round(F.avg("tavily_score"), 6).alias("mean_score"), F.max_by("query_id", F.struct(F.coalesce("tavily_score", F.lit(-1.0)).alias("s"), (-F.col("result_row_id")).alias("i"))).alias("best_query"))
+        F.expr("sum(cast(round(tavily_score * 1000000) as bigint)) div nullif(count(tavily_score), 0)").alias("mean_score_millionths"), F.max_by("query_id", F.struct(F.coalesce("tavily_score", F.lit(-1.0)).alias("s"), (-F.col("result_row_id")).alias("i"))).alias("best_query"))
 
 
 @query("""
