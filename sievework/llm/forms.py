@@ -40,7 +40,10 @@ def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """``doc_a < doc_b`` of documents that read the same and differ in characters, each text of ``min_chars`` or more."""
     rows = docs.where(F.length(text) >= min_chars)
     v = variants(rows, text).where("forms > 1").select("read_h")
-    r = rows.select(F.col(doc_id).alias("id"), F.unhex(F.sha2(read(F.col(text)), 256)).alias("read_h"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), F.col(text)).alias("h2"))
+    r = rows.select(F.col(doc_id).alias("id"), F.unhex(F.sha2(read(F.col(text)), 256)).alias("read_h"), F.unhex(F.sha2(text, 256)).alias("text_h"))
     r = written(r.join(v, "read_h"), "alike")
-    same = "x.read_h = y.read_h AND x.id < y.id AND (x.h != y.h OR x.h2 != y.h2)"
-    return r.alias("x").join(r.alias("y"), F.expr(same)).select(F.col("x.id").alias("doc_a"), F.col("y.id").alias("doc_b")).distinct()
+    # pairs of differing texts first, then their documents: copies of one text never meet each other
+    t = r.select("read_h", "text_h").distinct()
+    pairs = t.alias("x").join(t.alias("y"), F.expr("x.read_h = y.read_h AND x.text_h < y.text_h")).select(F.col("x.text_h").alias("ta"), F.col("y.text_h").alias("tb"))
+    both = pairs.join(r.select(F.col("text_h").alias("ta"), F.col("id").alias("p")), "ta").join(r.select(F.col("text_h").alias("tb"), F.col("id").alias("q")), "tb").where("p != q")
+    return both.select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).distinct()

@@ -39,7 +39,8 @@ def numbered(pages: DataFrame, row_id: str, source: str, url: str, text: str) ->
     ids = ids.withColumn("doc", F.monotonically_increasing_id())
     t = p.join(ids, ["source_h", "url_h", "no_url"]).select(
         "row_id", "source_h", F.shiftright("doc", 6).alias("word"), F.expr("shiftleft(1L, cast(doc & 63 as int))").alias("bit"), "no_url", "keys")
-    return written(t.repartition("source_h", "word"), "lines")
+    # a rebalance, so that a word of which one address holds very many rows is split over tasks
+    return written(t.hint("rebalance", F.col("source_h"), F.col("word")), "lines")
 
 
 def repeated(t: DataFrame, min_urls: int) -> DataFrame:

@@ -26,7 +26,8 @@ from sievework.session import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Expected copies are kept as whole millionths, so sums are exact.
 UNIT = 1_000_000
-HASH_CHUNKS = 16
+#: Documents of one source and size are split into chunks of about this many.
+CHUNK = 50_000
 
 
 def token_counts(tokenizer: str):
@@ -70,9 +71,11 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed(tokens: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, source, tokens, copies; rates): documents of the mix and how often each is taken."""
     r = rates(tokens.groupBy("source").agg(F.sum("tokens").alias("have")), targets)
-    d = tokens.withColumns({"size_class": F.least(F.col("tokens").cast("bigint") / 8, F.lit(4095)).cast("int"), "part": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASH_CHUNKS)).cast("int")})
+    d = tokens.withColumn("size_class", F.least(F.col("tokens") / 8, F.lit(4095)).cast("int"))
+    parts = d.groupBy("source", "size_class").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    d = d.join(parts, ["source", "size_class"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts"))).drop("parts")
     chunk = ["source", "size_class", "part"]
-    before = Window.partitionBy("source").orderBy("size_class", "part").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a source
+    before = Window.partitionBy("source").orderBy("size_class", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk of a source
     starts = d.groupBy(*chunk).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     d = d.withColumn("k", F.row_number().over(Window.partitionBy(*chunk).orderBy("tokens", "doc_id"))).join(starts, chunk).join(r.select("source", "rate"), "source")
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
