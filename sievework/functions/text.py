@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Accented Latin letters and their base letter, by Unicode's own decomposition.
 _PAIRS = [(chr(c), d[0]) for a, z in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(a, z) if (d := unicodedata.normalize("NFKD", chr(c)))[0].isascii() and d[0].isalpha() and len([x for x in d if not unicodedata.combining(x)]) == 1]
 ACCENTED, BASE = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+# Words of the trade that entity keys leave out.
 SERVICE_WORDS = ("iptv", "tv", "ott", "hd", "4k", "plus", "pro", "stream", "streams", "service", "services")
 
 

@@ -10,6 +10,7 @@ from sievework.operators import relops
 from sievework.plans.registry import query
 from sievework.session import table
 
+# Points by source level.
 WEIGHTS = {"A": 25, "B": 20, "C": 12, "D": 5, "E": 0}
 
 
