@@ -88,11 +88,14 @@ def cased(run: str) -> Iterator[str]:
 def undone(run: str, chain: str, any_case: bool) -> str | None:
     """The run of non-ASCII characters as it was before this UTF-8 transformation, undone as often as it fits."""
     for v in cased(run) if any_case else (run,):
-        text, steps = v, 0
-        while steps < DEPTH and RUN.search(text) and (back := undo(text, chain)) is not None:
-            text, steps = back, steps + 1
-        if steps and sane(text):
-            return text.lower() if v != run and run == run.lower() else text
+        text, best = v, None
+        for _ in range(DEPTH):
+            text = undo(text, chain) if RUN.search(text) else None
+            if text is None:
+                break
+            best = text if sane(text) else best  # a good letter before a sign may seem to undo once more
+        if best is not None:
+            return best.lower() if v != run and run == run.lower() else best
     return None
 
 
