@@ -31,3 +31,9 @@ def latest_year(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(x, F.lit("")), "\r", ""), "\n", -1)
+
+
+def json_prefix(x: Column) -> Column:
+    """The text from its first bracket to its last, for outputs that speak before and after their JSON; null without one."""
+    found = F.regexp_extract(x, r"(?s)([\[{].*[\]}])", 1)
+    return F.when(found != "", found)

@@ -84,3 +84,13 @@ def slug_title(url: Column) -> Column:
     """The last part of a path as a title."""
     slug = F.regexp_extract(url, r"/([^/?#]+)/?(?:[?#].*)?$", 1)
     return F.initcap(F.regexp_replace(slug, "[-_]+", " "))
+
+
+def clean_candidate(x: Column, most: int = 100) -> Column:
+    """A name from a Markdown line: marks, numbering and lead-ins gone, a name said twice said once, at most ``most`` characters."""
+    x = F.regexp_replace(clean_text(x), r"^(?:[#>*|=-]+ *)*(?:[0-9]+[.)] *)?", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\*\*|__|`", ""), r"(?i)^(?:best overall|editor'?s choice|top pick): *", "")
+    w = F.split(F.trim(x), " ")
+    half = F.floor(F.size(w) / 2).cast("int")
+    twice = (F.size(w) % 2 == 0) & (F.lower(F.array_join(F.slice(w, F.lit(1), F.greatest(half, F.lit(1))), " ")) == F.lower(F.array_join(F.slice(w, half + 1, F.greatest(half, F.lit(1))), " ")))
+    return F.trim(F.substring(F.when(twice, F.array_join(F.slice(w, F.lit(1), F.greatest(half, F.lit(1))), " ")).otherwise(F.trim(x)), F.lit(1), F.lit(most)))

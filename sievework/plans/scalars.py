@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import extract, ids, text, urls
+from sievework.operators.rules import first_term
 from sievework.plans.registry import query
 from sievework.session import table
 
@@ -186,3 +187,27 @@ FROM (SELECT result_row_id, unnest(role_candidates, recursive := true) FROM sear
 def top_roles(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "search_results").select("result_row_id", F.inline("role_candidates"))
     return r.groupBy("result_row_id").agg(F.max_by("role", F.struct("confidence", "role")).alias("top_role"), F.max("confidence").alias("confidence"), F.count("*").alias("roles"))
+
+
+TERMS = ["catch-up", "login loop", "price card", "refund", "reembolso", "remboursement"]
+
+
+@query("""
+SELECT doc_id, CASE WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])catch[- \\t\\n]up(?:$|[^\\p{L}\\p{N}])') THEN 'catch-up' WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])login[ \\t\\n]+loop(?:$|[^\\p{L}\\p{N}])') THEN 'login loop'
+    WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])price[ \\t\\n]+card(?:$|[^\\p{L}\\p{N}])') THEN 'price card' WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])refund(?:$|[^\\p{L}\\p{N}])') THEN 'refund'
+    WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])reembolso(?:$|[^\\p{L}\\p{N}])') THEN 'reembolso' WHEN regexp_matches(t, '(?:^|[^\\p{L}\\p{N}])remboursement(?:$|[^\\p{L}\\p{N}])') THEN 'remboursement' END AS term
+FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The first term of an ordered lexicon in each document, as bounded words."""
+    return table(spark, d, "documents").select("doc_id", first_term(F.col("text"), TERMS).alias("term"))
+
+
+_LEAD = "regexp_replace(trim(regexp_replace(coalesce(context, ''), '[ \\t\\n\\r]+', ' ', 'g')), '^(?:[#>*|=-]+ *)*(?:[0-9]+[.)] *)?', '')"
+_BARE = f"trim(regexp_replace(regexp_replace({_LEAD}, '\\*\\*|__|`', '', 'g'), '^(?:best overall|editor''?s choice|top pick): *', '', 'i'))"
+
+
+@query(f"""
+WITH x AS (SELECT mention_row_id, {_BARE} AS b FROM raw_brand_mentions), w AS (SELECT *, string_split(b, ' ') AS w FROM x), h AS (SELECT *, greatest(len(w) // 2, 1) AS h FROM w)
+SELECT mention_row_id, trim(substr(CASE WHEN len(w) % 2 = 0 AND lower(array_to_string(w[1:h], ' ')) = lower(array_to_string(w[h + 1:2 * h], ' ')) THEN array_to_string(w[1:h], ' ') ELSE b END, 1, 100)) AS candidate FROM h""")
+def clean_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_brand_mentions").select("mention_row_id", text.clean_candidate(F.col("context")).alias("candidate"))

@@ -50,3 +50,14 @@ def test_cascade_takes_the_first_rule_and_null_does_not_hold(spark):
     rule = cascade([(x == "a", "A"), (x.isin("a", "b"), "AB")], "NONE")
     assert [one(spark, v, rule)[0] for v in ("a", "b", "c", None)] == ["A", "AB", "NONE", "NONE"]
     assert one(spark, "smart tv box", any_word(x, ("tv",)), any_word(x, ("ox",)), first_word(x, ("box", "tv")))[:] == (True, False, "box")
+
+
+def test_candidates_terms_and_json(spark):
+    from sievework.operators.rules import first_term, matches_term
+
+    x = F.col("x")
+    for said, want in (("## 3. **Best overall: Murado Play**", "Murado Play"), ("Murado Play murado play", "Murado Play"), ("1) x", "x"), (None, ""), ("", ""), ("a" * 300, "a" * 100)):
+        assert one(spark, said, text.clean_candidate(x))[0] == want
+    assert one(spark, "a Smart\nTV-box", matches_term(x, "smart tv"), matches_term(x, "mart"), matches_term(x, "tv-box"), first_term(x, ["zz", "box"]))[:] == (True, False, True, "box")
+    assert one(spark, "see h.example/x", matches_term(x, "h.example"))[0]
+    assert one(spark, 'log: {"a": [1]} done', extract.json_prefix(x))[0] == '{"a": [1]}' and one(spark, "none", extract.json_prefix(x))[0] is None

@@ -65,3 +65,16 @@ def test_ledger_and_budget(spark):
     got = {r.user_id: (r.events, r.errors, r.last_type) for r in ledger.last_states(df, "user_id", ["ts", "event_id"], "event_type").collect()}
     assert got == {7: (2, 1, "error"), 8: (1, 0, "view")}
     assert [(r.user_id, r.event) for r in ledger.over_budget(df, "user_id", ["ts", "event_id"], "value", 2.5).orderBy("user_id").collect()] == [(7, 2), (8, 3)]
+
+
+def test_xlsx(spark, tmp_path):
+    import zipfile
+
+    from sievework.sources.xlsx import read_xlsx
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>Mu</t></r><r><t>rado</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row></sheetData></worksheet>')
+    got = [(r.file, r.row_no, r.cells) for r in read_xlsx(spark, str(tmp_path)).orderBy("row_no").collect()]
+    assert got == [("a.xlsx", 0, ["name", None, "n"]), ("a.xlsx", 1, ["Murado", None, "7"])]
