@@ -20,30 +20,35 @@ from sievework.session import written
 
 
 def variants(docs: DataFrame, text: str) -> DataFrame:
-    """``text_h, read_h, text, form, class_h`` of each distinct text, with the class and the canonical text's hash."""
+    """``text_h, read_h, canonical, forms`` of each distinct text: its hash, its class, the class's canonical text and number of variants.
+
+    The forms are computed once for each distinct text and written; documents meet them by the hash of their text.
+    """
     t = docs.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("v")).agg(F.count("*").alias("n"))
-    t = t.select("v", "n", read(F.col("v")).alias("r"), (seen(F.col("v")) != F.col("v")).alias("unclean")).withColumn("read_h", F.unhex(F.sha2("r", 256)))
-    t = written(t, "forms")
+    t = t.select("v", "n", read(F.col("v")).alias("r"), (seen(F.col("v")) != F.col("v")).alias("unclean"))
     odd = F.length(F.regexp_replace("v", r"[\x00-\x7F]+", ""))
-    t = t.select("*", odd.alias("odd"), F.expr("collate(r, 'UNICODE')").alias("key"))
-    best = t.groupBy("key", "read_h").agg(F.min(F.struct("unclean", "odd", (-F.col("n")).alias("rare"), "v")).alias("best"), F.count("*").alias("forms"))
-    return best.select("read_h", F.col("best.v").alias("canonical"), "forms")
+    t = written(t.select("v", "n", "r", "unclean", odd.alias("odd"), _hash(F.col("v")).alias("text_h"), _hash(F.col("r")).alias("read_h")), "forms")
+    keyed = t.select("*", F.expr("collate(r, 'UNICODE')").alias("key"))
+    best = keyed.groupBy("key", "read_h").agg(F.min(F.struct("unclean", "odd", (-F.col("n")).alias("rare"), "v")).alias("best"), F.count("*").alias("forms"))
+    return t.select("text_h", "read_h").join(best.select("read_h", F.col("best.v").alias("canonical"), "forms"), "read_h")
+
+
+def _hash(x: F.Column) -> F.Column:
+    return F.unhex(F.sha2(x, 256))
 
 
 def consistent(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``read_h`` (the class), ``canonical_text`` and ``forms`` (variants in its class); columns of these names are replaced."""
-    marked = docs.drop("read_h", "canonical_text", "forms").withColumn("read_h", F.unhex(F.sha2(read(F.col(text)), 256)))
-    return marked.join(variants(docs, text).withColumnRenamed("canonical", "canonical_text"), "read_h", "left")
+    marked = docs.drop("read_h", "canonical_text", "forms", "text_h").withColumn("text_h", _hash(F.col(text)))
+    return marked.join(variants(docs, text).withColumnRenamed("canonical", "canonical_text"), "text_h", "left").drop("text_h")
 
 
 def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 21) -> DataFrame:
     """``doc_a < doc_b`` of documents that read the same and differ in characters, each text of ``min_chars`` or more."""
     rows = docs.where(F.length(text) >= min_chars)
-    v = variants(rows, text).where("forms > 1").select("read_h")
-    r = rows.select(F.col(doc_id).alias("id"), F.unhex(F.sha2(read(F.col(text)), 256)).alias("read_h"), F.unhex(F.sha2(text, 256)).alias("text_h"))
-    r = written(r.join(v, "read_h"), "alike")
+    t = written(variants(rows, text).where("forms > 1").select("read_h", "text_h"), "alike")
     # pairs of differing texts first, then their documents: copies of one text never meet each other
-    t = r.select("read_h", "text_h").distinct()
     pairs = t.alias("x").join(t.alias("y"), F.expr("x.read_h = y.read_h AND x.text_h < y.text_h")).select(F.col("x.text_h").alias("ta"), F.col("y.text_h").alias("tb"))
+    r = rows.select(F.col(doc_id).alias("id"), _hash(F.col(text)).alias("text_h"))
     both = pairs.join(r.select(F.col("text_h").alias("ta"), F.col("id").alias("p")), "ta").join(r.select(F.col("text_h").alias("tb"), F.col("id").alias("q")), "tb").where("p != q")
     return both.select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).distinct()
