@@ -104,7 +104,7 @@ def similar_pairs(reps: DataFrame, threshold: float, recall: float, rows: int) -
 
 
 def near_duplicates(rows: DataFrame, row_id: str, text: str, title: str | None = None, n: int = 5, threshold: float = 0.8, min_words: int = 0,
-                    recall: float = 0.98, band_rows: int = 5) -> tuple[DataFrame, DataFrame]:
+                    recall: float = 0.995, band_rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members: row_id, class_id, class_size; pairs: a, b, similarity of class ids)."""
     members, reps = classes(rows, row_id, title, text, n, min_words)
     placed = members.join(reps.select("class_key", F.col("id").alias("class_id"), F.col("size").alias("class_size")), "class_key").select("row_id", "class_id", "class_size")
