@@ -9,7 +9,7 @@ from sievework.operators import relops
 from sievework.operators.graph import components
 from sievework.operators.similarity import order_similarity, overlap, set_pairs
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import table, written
 
 
 @query("""
@@ -50,16 +50,26 @@ def ordered_replicas(spark: SparkSession, d: str) -> DataFrame:
     """Pages of different hosts whose ordered name lists overlap by 0.6 or more, with the similarity of their order.
 
     Distinct lists of three names or more are compared, joined on their names; names on too many lists still join, as AQE splits
-    them, but copies of one list are one row.
+    them, but copies of one list are one class, named by its least page. ``a <= b`` are linked classes: ``a = b`` is a list that stands on
+    several hosts, ``a < b`` two lists that don't both stand on one and the same host alone. Each link has a row for each ``page`` (of class
+    ``class_id``, on ``domain``) that the other class, or its own where ``a = b``, meets on another host: no pairs of copies are written.
     """
     m = table(spark, d, "raw_brand_mentions").where("normalized_name IS NOT NULL AND domain IS NOT NULL")
     per = m.groupBy("page_row_id").agg(F.min("domain").alias("domain"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("mention_position", "mention_row_id", "normalized_name"))), lambda x: x["normalized_name"])).alias("names")).where(F.size("names") >= 3)
-    lists = per.groupBy("names").agg(F.min("page_row_id").alias("page"), F.min("domain").alias("domain"), F.count("*").alias("pages"))
+    per = written(per, "pages")
+    # the least and the greatest host tell whether a list stands on one host, and on which
+    lists = written(per.groupBy("names").agg(F.min("page_row_id").alias("page"), F.min("domain").alias("low"), F.max("domain").alias("high")), "lists")
+    members = per.join(lists.select("names", F.col("page").alias("class_id")), "names").select("class_id", F.col("page_row_id").alias("page"), "domain")
     # two lists that overlap by 0.6 share one of the rarest names of either: a prefix filter keeps common names from pairing all
     df = lists.select(F.explode("names").alias("n")).groupBy("n").agg(F.count("*").alias("df"))
     rare = lists.select("page", F.size("names").alias("k"), F.explode("names").alias("n")).join(df, "n").groupBy("page", "k").agg(F.array_sort(F.collect_list(F.struct("df", "n"))).alias("by_df"))
     heads = rare.select("page", F.explode(F.slice("by_df", F.lit(1), F.col("k") - F.ceil(0.6 * F.least("k", F.lit(3))).cast("int") + 1)).alias("r")).select("page", F.col("r.n").alias("n"))
     pairs = heads.alias("x").join(heads.alias("y"), F.expr("x.n = y.n AND x.page < y.page")).select(F.col("x.page").alias("a"), F.col("y.page").alias("b")).distinct()
-    side = lambda c, k: lists.select(F.col("page").alias(c), F.col("names").alias("n" + k), F.col("domain").alias("d" + k))
-    both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where("d1 != d2").withColumn("overlap", overlap(F.col("n1"), F.col("n2"))).where("overlap >= 0.6")
-    return both.select("a", "b", F.round("overlap", 6).alias("overlap"), F.round(order_similarity(F.col("n1"), F.col("n2")), 6).alias("order_similarity"))
+    side = lambda c, k: lists.select(F.col("page").alias(c), *[F.col(x).alias(x + k) for x in ("names", "low", "high")])
+    both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)").withColumn("overlap", overlap(F.col("names1"), F.col("names2"))).where("overlap >= 0.6")
+    both = both.select("a", "b", "low1", "high1", "low2", "high2", F.round("overlap", 6).alias("overlap"), F.round(order_similarity(F.col("names1"), F.col("names2")), 6).alias("order_similarity"))
+    both = written(both, "links")
+    ends = lambda c, k: both.select("a", "b", "overlap", "order_similarity", F.col(c).alias("class_id"), F.col("low" + k).alias("low"), F.col("high" + k).alias("high"))
+    same = lists.where("low < high").select(F.col("page").alias("a"), F.col("page").alias("b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("order_similarity"), F.col("page").alias("class_id"), "low", "high")
+    links = ends("a", "2").unionByName(ends("b", "1")).unionByName(same)
+    return links.join(members, "class_id").where("NOT (low = high AND low = domain)").select("a", "b", "overlap", "order_similarity", "class_id", "page", "domain")
