@@ -2,7 +2,7 @@
 
 The index holds a posting (term, document, positions) for each training token whose term is in the test vocabulary; other terms can't be part of a
 passage. Each window of ``n`` test words is looked up from its rarest term by corpus frequency: that term's positions,
-less its offset, are the places where the window may begin. The lists of the window's other terms, adjusted by their
+less its offset, are the places where the window may begin, give or take the slack. The lists of the window's other terms, adjusted by their
 offsets, are intersected with these places; what all terms share is an exact occurrence. Proximity matches keep
 the places that at least ``least`` of the terms share within a slack.
 
@@ -22,6 +22,8 @@ from sievework.session import written
 MARKUP = r"</?[A-Za-z][^<>]{0,200}>|[*_`~]+|&nbsp;|&shy;"
 #: Test sets up to this many windows are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Terms of a window, beyond those of which one is met, that sort out its places in a proximity search.
+MORE_TERMS = 2
 
 
 def words(text: F.Column) -> F.Column:
@@ -59,9 +61,16 @@ def places(docs: DataFrame, items: DataFrame, n: int, least: int | None = None,
     # a window with a term the corpus lacks has no exact place; for proximity it needs more terms than one
     ranked = slots.join(hint(df), "term", "left").groupBy("win").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("by_df"))
-    # of n terms, any `least` include one of the n - least + 1 rarest
-    rare = ranked.select("win", F.explode(F.slice("by_df", 1, n - least + 1)).alias("r")).select("win", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
-    starts = posts.join(hint(rare), "term").select("win", "doc_id", (F.col("at") - F.col("off")).alias("start")).distinct()
+    # of n terms, any `least` include one of the n - least + 1 rarest, two of one more, and so on
+    more = min(MORE_TERMS, least - 1) if slack else 0
+    rare = ranked.select("win", F.explode(F.slice("by_df", 1, n - least + 1 + more)).alias("r")).select("win", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
+    starts = posts.join(hint(rare), "term").select("win", "doc_id", (F.col("at") - F.col("off")).alias("start"), "off")
+    if slack:  # a rare term itself may stand off its place
+        starts = starts.withColumn("start", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
+        met = F.bit_count(F.bit_or(F.expr("shiftleft(1L, off)"))) if n <= 64 else F.count_distinct("off")
+        starts = starts.groupBy("win", "doc_id", "start").agg(met.alias("met")).where(F.col("met") > more).drop("met")
+    else:
+        starts = starts.drop("off").distinct()
     # the other terms of each window, at their offsets, against the postings of the same document
     wanted = starts.join(hint(wins.select("win", "terms")), "win").select("win", "doc_id", "start", F.posexplode("terms").alias("off", "term"))
     if slack:

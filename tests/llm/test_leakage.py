@@ -46,6 +46,36 @@ def test_proximity_allows_slack(spark):
     assert {r.doc_id for r in near.collect()} == {1}
 
 
+def near(d, items, n, least, slack):
+    """The most words met by a window of an item at any place of a document, by trying all places."""
+    out = {}
+    for i, t, *_ in d:
+        a = words(t or "")
+        for j, u in items:
+            b = words(u or "")
+            for k in range(len(b) - n + 1):
+                for s in range(-n, len(a) + n):
+                    met = sum(any(0 <= p < len(a) and a[p] == w for p in range(s + o - slack, s + o + slack + 1)) for o, w in enumerate(b[k : k + n]))
+                    if met >= least:
+                        out[i, j] = max(out.get((i, j), 0), met)
+    return out
+
+
+def test_proximity_with_two_insertions_against_all_places(spark):
+    item = "w0 w1 w2 w3 w4 w5 w6 w7"
+    apart = "w0 w1 x w2 w3 w4 y w5 w6 w7"  # all eight within 1 of start 1
+    for rare in ("w0 w1", "w5 w6 w7", "w2 w4"):
+        common = " . ".join(w for w in item.split() if w not in rare.split())
+        d = [(1, apart, None, None), (2, "z z z " + apart + " z", None, None), (3, "w1 w0 x y w3 w2 w4 w5 w7 w6", None, None)] + [(10 + k, f"{common} q", None, None) for k in range(9)]
+        for least in (6, 7, 8):
+            got = leakage.places(spark.createDataFrame(d, DOCS), spark.createDataFrame([(1, item)], ITEMS), 8, least=least, slack=1)
+            most = {}
+            for r in got.collect():
+                most[r.doc_id, 1] = max(most.get((r.doc_id, 1), 0), r.hits)
+            want = near(d, [(1, item)], 8, least, 1)
+            assert most == want and want[1, 1] == want[2, 1] == 8
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert leakage.found(d, spark.createDataFrame([(1, ITEM)], ITEMS)).count() == 0 and leakage.found(spark.createDataFrame(docs(), DOCS), i).count() == 0
