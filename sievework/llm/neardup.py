@@ -4,8 +4,8 @@ Rows with the same words form one class at once (``class_id`` = its smallest row
 set of word n-grams is signed by ``bands * rows`` minima; classes that share a band's hash are candidates, and each candidate
 pair is verified on both full sets. ``plan_bands`` picks the number of bands from the collision curve.
 
-Defined cases: a null id, null text or fewer than ``min_words`` words in it: the row takes no part; a null title counts as empty; ties and repeated rows fall
-into one class; empty tables give empty results; further columns are ignored.
+Defined cases: a null id or fewer than ``min_words`` words in the text: the row takes no part; a null text or title counts as empty; a row of fewer than ``n`` words has no
+n-gram: it is in the class of its words (rows without any word in one class) but in no pair of classes; ties and repeated rows fall into one class; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,8 +79,9 @@ def band_hashes(bands: int, rows: int, seed: int = 7):
 
 def classes(rows: DataFrame, row_id: str, title: str | None, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members: class_key, row_id; reps as a written table: class_key, id, size, grams)."""
-    w = rows.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("row_id"), words(F.col(text)).alias("c"), words(F.col(title) if title else F.lit("")).alias("t"))
-    w = w.where(F.size("c") >= min_words).select("row_id", F.concat(F.coalesce("t", F.array().cast("array<string>")), "c").alias("w")).where(F.size("w") >= n)
+    none = F.array().cast("array<string>")
+    w = rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("row_id"), F.coalesce(words(F.col(text)), none).alias("c"), F.coalesce(words(F.col(title)), none).alias("t") if title else none.alias("t"))
+    w = w.where(F.size("c") >= min_words).select("row_id", F.concat("t", "c").alias("w"))
     key = F.unhex(F.md5(F.array_join("w", " ")))
     members = w.select(key.alias("class_key"), "row_id")
     reps = w.select(key.alias("class_key"), "row_id", shingles("w", n).alias("grams"))

@@ -47,6 +47,16 @@ def test_pairs_and_links_against_brute_force(spark):
     assert links[0].class_size == 4 and None not in links
 
 
+def test_short_and_empty_texts_have_a_class(spark):
+    texts = [None, "", "...", "a b", "A, b!", "a c", "one", "x y z u v w", "x y z u v w", "X y z u v w!"]
+    df = spark.createDataFrame([(k, None, t, None, None) for k, t in enumerate(texts)] + [(None, None, "a b", None, None)], SCHEMA)
+    members, pairs = neardup.near_duplicates(df, "row_id", "content")
+    got = {r.row_id: (r.class_id, r.class_size, r.links) for r in neardup.linked_rows(members, pairs).collect()}
+    assert got == {0: (0, 3, 0), 1: (0, 3, 0), 2: (0, 3, 0), 3: (3, 2, 0), 4: (3, 2, 0), 5: (5, 1, 0), 6: (6, 1, 0), 7: (7, 3, 0), 8: (7, 3, 0), 9: (7, 3, 0)}
+    members, pairs = neardup.near_duplicates(df, "row_id", "content", min_words=3)
+    assert {r.row_id for r in members.collect()} == {7, 8, 9}
+
+
 def test_plan_follows_the_collision_curve():
     for t, r, rows in ((0.5, 0.98, 5), (0.8, 0.99, 8)):
         b = neardup.plan_bands(t, r, rows)
