@@ -3,7 +3,8 @@
 A name is brought to its core: encodings repaired, scripts and accents folded, digits for letters undone, joined words split, descriptive words, given
 names and years taken out. Distinct cores are signed by MinHash over padded q-grams and banded, the number of bands from the
 collision curve; candidates are verified by Monge-Elkan similarity with an inner edit similarity; stars are grown around the cores that
-stand for most names. A row's aliases then join the stars they fall into.
+stand for most names. The stars of a row's name and aliases are then one, as far as they are firm; a row whose name is an initial or damaged
+goes to the star of its firm aliases.
 
 Defined cases: a null or empty name, and one that has nothing but descriptive words, links to nothing; repeated rows are
 one record; null or empty aliases add nothing; ties between centres go to the more similar, then the more frequent, then the smaller core;
@@ -196,15 +197,19 @@ def clusters(brands: DataFrame, candidates: DataFrame) -> DataFrame:
     links = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     star = written(stars(nodes.select("id", "weight"), links), "stars")
     placed = written(said.join(star, "id").select("key", "own", "words", "centre"), "placed")
-    # an alias unlike its row's name ties two stars together, unless it is so short or damaged that it may be any brand's
+    # a row's aliases are its brand's: the stars of its firm names are one, unless a name is so short or damaged that it may be any brand's
     letters = F.length(F.array_join("words", ""))
-    firm = placed.where((letters >= 9) & ((F.size("words") == 1) | (F.array_min(F.transform("words", F.length)) >= 4)))
-    firm = firm.join(nodes.select(F.col("id").alias("centre"), F.col("words").alias("middle")), "centre")
-    firm = compared(firm.withColumnsRenamed({"words": "x", "middle": "y"})).where("sim >= 0.84").select("key", "own", "centre", F.col("x").alias("words"))
-    tie = firm.alias("p").join(firm.where("own").alias("q"), "key").where("NOT p.own AND p.centre != q.centre").select(F.col("p.centre").alias("a"), F.col("q.centre").alias("b"), F.col("p.words").alias("x"), F.col("q.words").alias("y"))
-    tie = compared(tie).where("sim < 0.6").select("a", "b")
-    whole = components(tie.distinct())
-    return placed.where("own").join(whole, F.col("centre") == F.col("id"), "left").select("key", F.coalesce("component", "centre").alias("cluster")).distinct()
+    shortest = F.array_min(F.transform("words", F.length))
+    near = placed.withColumn("long", (letters >= 9) & ((F.size("words") == 1) | (shortest >= 4))).withColumn("initial", shortest == 1)
+    near = near.join(nodes.select(F.col("id").alias("centre"), F.col("words").alias("middle")), "centre")
+    near = written(compared(near.withColumnsRenamed({"words": "x", "middle": "y"})).select("key", "own", "centre", "long", "initial", "sim"), "near")
+    firm = near.where("long AND sim >= 0.84")
+    said_by = firm.groupBy("key").agg(F.min("centre").alias("low"), F.bool_or(~F.col("own")).alias("by_alias")).where("by_alias").select("key", "low")
+    whole = components(firm.join(said_by, "key").where("centre != low").select(F.col("centre").alias("a"), F.col("low").alias("b")).distinct())
+    # an initial or a damaged name doesn't place its row if a firm alias does
+    lost = F.col("initial") | (F.col("sim") < 0.84)
+    own = near.where("own").join(said_by, "key", "left").select("key", F.when(lost, F.coalesce("low", "centre")).otherwise(F.col("centre")).alias("centre"))
+    return own.join(whole, F.col("centre") == F.col("id"), "left").select("key", F.coalesce("component", "centre").alias("cluster")).distinct()
 
 
 def found(brands: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -25,6 +25,14 @@ def test_found(spark):
     assert got == {(x, y) for g in groups for x in g for y in g if x < y}
 
 
+def test_aliases_place_a_row_named_by_an_initial(spark):
+    b = [("b1", "Gudemi W. TV", ["Gudemi Winmoklo"], 1, None), ("b2", "Gudemi Wachetro", None, 1, None), ("b3", "Tokiwan Padoro", ["Fewelro Kochetri"], 1, None)]
+    c = [(f"c{k}", "Gudemi Wachetro", "S", 1) for k in range(4)] + [("d1", "Gudemi Winmoklo", "S", 1), ("d2", "Kochetri Fewelro", "S", 1)]
+    got = {tuple(r) for r in names.found(spark.createDataFrame(b, B), spark.createDataFrame(c, C)).collect()}
+    groups = (["b2", "c0", "c1", "c2", "c3"], ["b1", "d1"], ["b3", "d2"])
+    assert got == {(x, y) for g in groups for x in g for y in g if x < y}
+
+
 def test_empty_tables(spark):
     b, c = tables(spark)
     assert names.found(b.limit(0), c.limit(0)).count() == 0 and names.clusters(b, c.limit(0)).count() == 3
