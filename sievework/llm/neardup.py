@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.session import written
 
 WORD = r"[\p{L}\p{N}]+"
+#: Buckets of more members than this are searched by their rarest grams instead of pair by pair.
+HOT = 500
 
 
 def collision(similarity: float, bands: int, rows: int) -> float:
@@ -89,14 +91,44 @@ def classes(rows: DataFrame, row_id: str, title: str | None, text: str, n: int,
     return members, written(reps, "grams")
 
 
+def candidates(sets: DataFrame, threshold: float, recall: float, rows: int, hot: int = HOT) -> DataFrame:
+    """``a, b`` (a < b): pairs of ``sets`` (id, grams) that share a band, as found for a Jaccard similarity of ``threshold`` with chance ``recall``.
+
+    Buckets of more than ``hot`` members write no pairs: their members meet in ``prefix_pairs``, which loses no pair at the threshold.
+    """
+    hashed = sets.where(F.size("grams") > 0).select("id", "grams").mapInArrow(band_hashes(plan_bands(threshold, recall, rows), rows), "band_h bigint, id bigint")
+    hashed = hashed.repartition("band_h")  # one shuffle, read by both the count and the join
+    shared = hashed.join(hashed.groupBy("band_h").agg(F.count("*").alias("n")).where("n > 1"), "band_h")
+    shared = written(shared, "buckets")  # most buckets hold one member and are gone here
+    few = shared.where(F.col("n") <= hot)
+    found = few.alias("x").join(few.alias("y"), F.expr("x.band_h = y.band_h AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = shared.where(F.col("n") > hot).select("id").distinct()
+    if not many.isEmpty():
+        found = found.unionByName(prefix_pairs(sets.join(many, "id", "left_semi"), threshold))
+    return found.distinct()
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b) of all sets (id, grams) that may have this Jaccard similarity: both have one of the other's rarest grams.
+
+    Two sets at the threshold share at least one of the first ``size - ceil(threshold * size) + 1`` grams of each in an order common to all,
+    here from the rarest up, so what very many sets have in common pairs none of them.
+    """
+    g = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    df = g.groupBy("g").agg(F.count("*").alias("df"))
+    ordered = g.join(df.where("df > 1"), "g").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by_df"))
+    # grams no other set has come first in the order and are left out of the list
+    alone = F.col("size") - F.size("by_df")
+    length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - alone
+    heads = written(ordered.where(length > 0).select("id", "size", F.explode(F.slice("by_df", F.lit(1), length.cast("int"))).alias("h")).select("id", "size", F.col("h.g").alias("g")), "heads")
+    near = F.expr(f"x.g = y.g AND x.id < y.id AND least(x.size, y.size) >= {threshold} * greatest(x.size, y.size)")
+    return heads.alias("x").join(heads.alias("y"), near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def similar_pairs(reps: DataFrame, threshold: float, recall: float, rows: int) -> DataFrame:
     """``a, b, similarity`` (a < b) of classes whose n-gram sets have at least this Jaccard similarity."""
-    bands = plan_bands(threshold, recall, rows)
-    hashed = reps.where(F.size("grams") > 0).select("id", "grams").mapInArrow(band_hashes(bands, rows), "band_h bigint, id bigint")
-    shared = hashed.withColumn("n", F.count("*").over(Window.partitionBy("band_h"))).where("n > 1").select("band_h", "id")
-    shared = written(shared, "buckets")  # most buckets hold one class and are gone here
-    found = shared.alias("x").join(shared.alias("y"), F.expr("x.band_h = y.band_h AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     sets = reps.select("id", "grams")
+    found = candidates(sets, threshold, recall, rows)
     both = found.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     # the shorter set bounds the similarity; sets too unequal in size are dropped before they are intersected
     both = both.where(F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb")))

@@ -66,3 +66,20 @@ def test_plan_follows_the_collision_curve():
 def test_empty_table(spark):
     members, pairs = neardup.near_duplicates(spark.createDataFrame([], SCHEMA), "row_id", "content", "title")
     assert members.count() == 0 and neardup.row_pairs(members, pairs).count() == 0 and neardup.linked_rows(members, pairs).count() == 0
+
+
+def test_a_hot_bucket_loses_no_pair(spark):
+    """One opening holds half of all rows: its bucket is searched by the rarest grams, with the same pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    opening = " ".join(word() for _ in range(30))
+    rows = [(k, None, opening + " " + " ".join(word() for _ in range(rng.randrange(4, 30))), None, None) for k in range(60)] + [(100 + k, None, " ".join(word() for _ in range(30)), None, None) for k in range(60)]
+    rows += [(200 + k, None, r[2] + " x", None, None) for k, r in enumerate(rows[:30])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, reps = neardup.classes(df, "row_id", None, "content", 3, 0)
+    sets = reps.select("id", "grams")
+    want = brute(rows, 3, 0.5, 0)
+    cut = {(r.a, r.b) for r in neardup.candidates(sets, 0.5, 0.999, 5, hot=5).collect()}
+    every = {(r.a, r.b) for r in neardup.prefix_pairs(sets, 0.5).collect()}
+    assert want <= every and len(want) > 100 and len(every) < 120 * 149 // 2
+    assert want <= cut | {(r.a, r.b) for r in neardup.candidates(sets, 0.5, 0.999, 5).collect()}
