@@ -1,10 +1,10 @@
 """The main body of captured pages, by maximum-scoring subsequences.
 
-A line is a run of words and tags; tags say how it is set (a bar of links, a breadcrumb, a bullet, an ellipsis at the end, a
-speaker, a price row). Weights of words and tags come from labelled pages by logistic regression, so that words of
-articles score above 0 and tags and words of furniture below. One linear scan (Ruzzo and Tompa) finds all disjoint maximum-scoring
-subsequences of a page's lines; an article broken by notices or adverts comes out as several of them. A line belongs to the main
-body if it lies in one of at least ``MIN_SCORE`` and doesn't itself lower it.
+A line is a run of words, between a line tag and tags that say how it is set (short, a bar of links, a breadcrumb, decorated, broken off, a
+speaker's, below another page's headline). Words score 0 or more and tags 0 or less: the weights come from labelled pages by logistic regression under these signs.
+One linear scan over a page's lines finds the maximum-scoring subsequences: a region begins at a line that scores, grows while its sum stays
+above 0 and within ``DROP`` of its best, and ends at its best. All lines of regions of at least ``MIN_SCORE`` are the main body, also those in between
+that score below 0; lines outside are not, also those that score above. An article broken by notices comes out as several regions.
 
 Defined cases: a null or empty page has no lines; lines without letter or digit are never reported; a null
 title matches no line; texts are scanned whole, whatever their length; repeated captures are judged each; without any page to draw
@@ -24,197 +24,188 @@ from pyspark.sql import functions as F
 
 from sievework.llm.labelled_pages import FILLERS, PAGES
 
-#: Pages of the corpus, at most, whose title and opening go into the labelled pages.
-SAMPLE_PAGES = 400
-MIN_SCORE = 0.5
-#: Words on fewer lines than this share one weight, which is also that of words never seen.
+#: Pages of the corpus, at most, whose title and opening go into the labelled pages, and characters of an opening that do.
+SAMPLE_PAGES, SAMPLE_CHARS = 400, 2_000
+#: Generated labelled pages the weights are fitted on.
+TRAINING_PAGES = 500
+#: The least score of a region, and how far its sum may fall below its best: both chosen on labelled pages left out of the fit.
+MIN_SCORE, DROP = 0.5, 2.0
+#: Words on fewer training lines than this share one weight, which is also that of words never seen.
 RARE, OTHER_WORD = 3, "~"
-#: Words alone never make a line of one or two words a part of the article.
-MOST_BY_WORDS = 2.0
+#: A line's words count as at most this many, so that a long line isn't the sum of all its words.
+WORDS = 3.0
 #: Lines whose score a task keeps at once; furniture recurs.
 KEPT = 100_000
 
-WORD = re.compile(r"[^\W\d_]+|\d+")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")
 #: Signs that only decorate the ends of a line.
 BEFORE, AFTER = " \t\xa0[»›•*+-", " \t\xa0]»›!+"
-HANDLE = re.compile(r"^\W*[^\W\d_]+\d+(?: says\b|:| [–—-] |\s*>)")
-NUMBERED = re.compile(r"^(?:#+ |=+ )?\d+[.)] \S")
-ROW = re.compile(r"^\W*\|? ?\d+ \|.*\d")
-ITEM = re.compile(r"^[^:.?!]{3,60}: [^:?!]{2,60}, \d+[.,]\d\d$")
-TAIL = re.compile(r"(?:…|\.\.\.)$")
-YEAR = re.compile(r"\b20\d\d\b")
 CLOCK = re.compile(r"\d\d:\d\d")
-HOST = re.compile(r"\b[\w-]+\.(?:example|test|invalid|com|net|org|[a-z]{2})\b")
+HOST = re.compile(r"\b[^\W_](?:[\w-]*[^\W_])?\.[a-z]{2,}\b")
+#: The first word of a line mixes letters and digits, as the names of speakers do.
+SPEAKER = re.compile(r"^\W*[^\W\d_]+\d+\b")
+#: The line is the page's own title or opening; a paragraph alone below another page's headline.
+OWN, BLURB = "=own", "<blurb>"
 
 
 def key(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
-def features(line: str) -> list[str]:
-    """The words and tags of a line, but for what depends on the page's title."""
+def features(line: str) -> tuple[set[str], set[str], set[str]]:
+    """(words, pairs of a word, number or sign and the next sign or number, tags) of a line."""
     core = line.lstrip(BEFORE).rstrip(AFTER)
-    words = WORD.findall(core.lower())
-    for form, tag in ((ROW, "<row>"), (NUMBERED, "<numbered>"), (ITEM, "<item>")):
-        if form.match(line if tag == "<row>" else core):
-            return [tag]  # the form says all; the words are names
-    out = ["0" if w[0].isdigit() else w for w in words]
-    n = len(words)
-    out.append("<n0>" if n <= 2 else "<n1>" if n <= 4 else "<n2>" if n <= 8 else "<n3>" if n <= 14 else "<n4>" if n <= 25 else "<n5>")
-    if " | " in core or "](" in core:
-        out.append("<bar>")
-    if " > " in core and not HANDLE.match(line):
-        out.append("<crumb>")
-    if HANDLE.match(core):
-        out.append("<speaker>")
-    if TAIL.search(core):
-        out.append("<broken>")
-    if line.startswith(("# ", "== ")):
-        out.append("<head>")
-    if core.isupper():
-        out.append("<caps>")
-    if "©" in core:
-        out.append("<copyright>")
-    if CLOCK.search(core):
-        out.append("<clock>")
-    if HOST.search(core):
-        out.append("<host>")
-    if core.endswith("?"):
-        out.append("<asks>")
-    if core.endswith("."):
-        out.append("<ends>")
-    if line[:1] == "[" or line[:1] == "»" or line[-1:] in "]»!›":
-        out.append("<deco>")
-    return out
-
-
-BLANK, OTHER, HEADLINE, BLURB, CLOSING = range(5)
-#: The tag of a line that is the page's own headline.
-OWN = "<own>"
-
-
-def fit(rows: list[tuple[set[str], float]], rounds: int = 500) -> dict[str, float]:
-    """Weights by token, and the intercept under "", by logistic regression; both classes weigh the same."""
-    seen = Counter(t for f, _ in rows for t in f)
-    rows = [({t if t[0] == "<" or seen[t] >= RARE else OTHER_WORD for t in f}, v) for f, v in rows]
-    names = sorted({t for f, _ in rows for t in f})
+    seen = TOKEN.findall(core.lower())
+    words = {t for t in seen if t[0].isalpha()}
+    kind = ["^", *("w" if t[0].isalpha() else t if not t[0].isdigit() else "0" if t.isdigit() else "0.0" for t in seen), "$"]
+    pairs = {f"{a} {b}" for a, b in zip(kind, kind[1:]) if not (a in "w^" and b in "w$")}
+    n = sum(t[0].isalpha() or t[0].isdigit() for t in seen)
+    tags = {"<line>"} | {f"<under {k}>" for k in (3, 5, 9, 15) if n < k}
+    holds = ((" | " in core or "](" in core, "<bar>"), (" > " in core, "<crumb>"), (SPEAKER.match(core), "<speaker>"), (core[-1:] == "…" or core[-3:] == "...", "<broken>"), (core.isupper(), "<caps>"), ("©" in core, "<copyright>"),
+             (CLOCK.search(core), "<clock>"), (HOST.search(core.lower()), "<host>"), (core[-1:] not in ".", "<no stop>"), (core[-1:] == "?", "<asks>"), (line[:1] in "[»›+" or line[-1:] in "]»!›+", "<deco>"))
+    return words, pairs, tags | {tag for so, tag in holds if so}
+
+
+def fit(rows: list[tuple[tuple[set[str], set[str], set[str]], float]], signed: bool, rounds: int = 400) -> dict[str, float]:
+    """Weights by token, by logistic regression; both classes weigh the same. ``signed``: words and pairs score 0 or more, tags 0 or less."""
+    seen = Counter(w for (ws, _, _), _ in rows for w in ws)
+    known = [({w if seen[w] >= RARE else OTHER_WORD for w in ws}, [*ps, *ts]) for (ws, ps, ts), _ in rows]
+    names = sorted({t for ws, rest in known for t in (*ws, *rest)} | {BLURB})
     at = {t: i for i, t in enumerate(names)}
-    r = np.concatenate([np.full(len(f), i) for i, (f, _) in enumerate(rows)])
-    c = np.concatenate([[at[t] for t in sorted(f)] for f, _ in rows]).astype(int)
+    r = np.concatenate([np.full(len(ws) + len(rest), i) for i, (ws, rest) in enumerate(known)])
+    c = np.concatenate([[at[t] for t in (*sorted(ws), *sorted(rest))] for ws, rest in known]).astype(int)
+    x = np.concatenate([[WORDS / max(len(ws), WORDS)] * len(ws) + [1.0] * len(rest) for ws, rest in known])
     y = np.array([v for _, v in rows])
-    # words share one unit a line, so that a long line isn't the sum of all its words
-    tag = np.array([t[0] == "<" for t in names])
-    share = np.bincount(r, weights=~tag[c], minlength=len(rows))
-    x = np.where(tag[c], 1.0, 3.0 / np.maximum(share[r], 3.0))
-    w, b, grad2, b2 = np.zeros(len(names)), 0.0, np.full(len(names), 1e-2), 1e-2
+    tag = np.array([t[0] == "<" and len(t) > 1 for t in names])
+    w, grad2 = np.zeros(len(names)), np.full(len(names), 1e-2)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(rounds):
-        z = np.bincount(r, weights=w[c] * x, minlength=len(rows)) + b
+        z = np.bincount(r, weights=w[c] * x, minlength=len(rows))
         e = (1 / (1 + np.exp(-z.clip(-30, 30))) - y) * weight
         g = np.bincount(c, weights=e[r] * x, minlength=len(names)) + 0.02 * w
         grad2 += g * g
-        b2 += e.sum() ** 2
         w -= 0.5 * g / np.sqrt(grad2)
-        b -= 0.5 * e.sum() / np.sqrt(b2)
-    return dict(zip(names, w.tolist(), strict=True)) | {"": float(b)}
+        if signed:
+            w = np.where(tag, np.minimum(w, 0.0), np.maximum(w, 0.0))
+    return dict(zip(names, w.tolist(), strict=True))
 
 
-def train(sample: list[tuple[str, str]], seed: int = 5) -> tuple[dict[str, float], ...]:
-    """Weights for main body, for being some page's title, and for closing an article, from the labelled pages with ``sample`` put in."""
+def generated(sample: list[tuple[str, str]], pages: list[str] = PAGES, count: int = TRAINING_PAGES, seed: int = 5) -> Iterator[list[tuple[str, str, str]]]:
+    """Labelled pages with titles and texts put in: per page its lines as (mark, what stands for, text)."""
     rng = np.random.default_rng(seed)
-    body: list[tuple[set[str], float]] = []
-    heads: list[tuple[set[str], float]] = []
-    closing: list[tuple[set[str], float]] = []
     fill = [*FILLERS, *sample]
-    for k in range(max(3 * len(FILLERS), len(fill))):
-        title, text = fill[k % len(fill)]
-        for page in PAGES if k < 8 else (PAGES[k % len(PAGES)],):
-            for marked in page.strip().split("\n"):
-                mark, said = marked[0], marked[2:]
-                if k >= 8 and "@" not in said and rng.random() < 0.7:
-                    continue
-                bare = said.lstrip("#=›- ")
-                cut = text[: max(20, int(len(text) * rng.uniform(0.3, 0.9)))].rstrip(" .") + ("…" if rng.random() < 0.5 else "...")
-                part = re.split(r"(?<=\.) ", text)
-                said = said.replace("@text", " ".join(part[: rng.integers(1, len(part) + 1)])).replace("@title", title).replace("@cut", cut)
-                # several other titles, as pages tease more than they are
-                for other in [fill[i][0] for i in rng.integers(0, len(fill), 3)] if bare == "@other" else [""]:
-                    f = set(features(said.replace("@other", other)))
-                    heads.append((f, float(bare in ("@title", "@other"))))
-                    if mark != "+":
-                        closing.append((f, float(mark == "=")))
-                    body.append((f | ({OWN} if bare == "@title" else set()), float(mark == "+")))
-    return fit(body), fit(heads), fit(closing)
-
-
-def score(tokens: list[str], weights: dict[str, float]) -> float:
-    """Log-odds of a line to be main body."""
-    words = {t if t in weights else OTHER_WORD for t in tokens if t[0] != "<"}
-    total = weights[""] + sum(weights.get(t, 0.0) for t in set(tokens) if t[0] == "<")
-    return total + min(sum(weights.get(t, 0.0) for t in words) * 3.0 / max(len(words), 3), MOST_BY_WORDS)
-
-
-def regions(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All disjoint maximum-scoring subsequences as (first, past the last, score), by Ruzzo and Tompa's linear scan."""
-    stack: list[list[float]] = []  # first, end, sum before, sum through
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
+    order = rng.permutation(len(fill))
+    for k in range(count):
+        title, text = fill[order[k % len(fill)]]
+        # the first pages stand whole; later ones leave out lines, so that what stands beside what varies
+        part = re.split(r"(?<=\.) ", text)
+        out = []
+        for marked in pages[k % len(pages)].strip().split("\n"):
+            mark, said = marked[0], marked[2:]
+            if k >= 2 * len(pages) and rng.random() < (0.35 if "@" in said else 0.6):
+                continue
+            cut = text[: max(20, int(len(text) * rng.uniform(0.3, 0.9)))].rstrip(" .") + ("…" if rng.random() < 0.5 else "...")
+            other, blurb = fill[rng.integers(len(fill))]
+            what = said.lstrip("#=›- ")
+            for _ in range(2 if what == "@other" else 1):
+                out.append((mark, what, said.replace("@text", " ".join(part[: rng.integers(1, len(part) + 1)])).replace("@title", title).replace("@cut", cut).replace("@other", other).replace("@blurb", blurb)))
+                other = fill[rng.integers(len(fill))][0]
+        yield out
+
+
+def train(sample: list[tuple[str, str]], pages: list[str] = PAGES) -> tuple[dict[str, float], ...]:
+    """Weights for main body, for being some page's title, and for closing an article, from the labelled pages with ``sample`` put in."""
+    body, heads, closing = [], [], []
+    for page in generated(sample, pages):
+        for i, (mark, what, line) in enumerate(page):
+            words, pairs, tags = features(line)
+            heads.append(((words, pairs, tags), float(what in ("@title", "@other"))))
+            if mark != "+":
+                closing.append(((words, pairs, tags), float(mark == "=")))
+            after = page[i + 1][0] if i + 1 < len(page) else "-"
+            if what in ("@text", "@blurb") and i and page[i - 1][1] == "@other" and after == "-":
+                tags = tags | {BLURB}
+            body.append(((words, pairs | {OWN} if what == "@title" else pairs, tags), float(mark == "+")))
+    return fit(body, signed=True), fit(heads, signed=False), fit(closing, signed=False)
+
+
+def score(tokens: tuple[set[str], set[str], set[str]], weights: dict[str, float]) -> float:
+    """The sum of a line's words and tags."""
+    words, pairs, tags = tokens
+    other = weights.get(OTHER_WORD, 0.0)
+    said = sum(weights.get(w, other) for w in words) * WORDS / max(len(words), WORDS)
+    return said + sum(weights.get(t, 0.0) for t in (*pairs, *tags))
+
+
+def regions(scores: list[float], drop: float = DROP) -> list[tuple[int, int, float]]:
+    """The maximum-scoring subsequences as (first, past the last, score), found from the left.
+
+    Each begins at a positive score, all its beginnings and ends sum to more than 0, and within it no sum falls more than ``drop`` below an
+    earlier one. With ``drop`` infinite these are those that end where their sum is greatest.
+    """
+    out: list[tuple[int, int, float]] = []
+    i = 0
+    while i < len(scores):
+        if scores[i] <= 0:
+            i += 1
             continue
-        item = [i, i + 1, before, total]
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= item[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= item[3]:
-                stack.append(item)
+        first, total, best, end = i, 0.0, 0.0, i
+        while i < len(scores):
+            total += scores[i]
+            i += 1
+            if total > best:
+                best, end = total, i
+            elif total <= 0 or best - total > drop:
                 break
-            item = [stack[j][0], item[1], stack[j][2], item[3]]
-            del stack[j:]
-    return [(int(a), int(b), t - f) for a, b, f, t in stack]
+        out.append((first, end, best))
+        i = end
+    return out
 
 
-def outside(text: str, title: str, opening: str, weights: tuple[dict[str, float], ...], known: dict[str, tuple[float, int]]) -> list[int]:
-    """The numbers of the lines outside the main body; ``opening`` is the page's snippet, if it has one."""
-    lines, own, first = text.split("\n"), key(title), key(opening)
+def line_scores(lines: list[str], title: str, opening: str, weights: tuple[dict[str, float], ...], known: dict) -> tuple[list[float], list[int]]:
+    """(score of every line, numbers of the lines that say something)."""
+    own = {key(title), key(opening)} - {""}
+    longest = max(2 * len(title) + 8, 2 * len(opening) + 8) if own else 0
     scores: list[float] = []
-    kinds: list[int] = []
-    for line in lines:
+    kinds: list[tuple[bool, bool]] = []
+    said: list[int] = []
+    for i, line in enumerate(lines):
         line = line.strip()
         got = known.get(line)
         if got is None:
-            if key(line):
-                f = features(line)
-                s = score(f, weights[0])
-                got = s, (HEADLINE if score(f, weights[1]) > 0 else CLOSING if score(f, weights[2]) > 0 else OTHER) if s <= 0 else BLURB if f[-1] in ("<ends>", "<deco>") or "<broken>" in f else OTHER
-            else:
-                got = 0.0, BLANK
+            k = key(line)
+            f = features(line)
+            got = (score(f, weights[0]), score(f, weights[1]) > 0, score(f, weights[2]) > 0, bool(k))
             if len(known) >= KEPT:
                 known.clear()
             known[line] = got
-        s, kind = got
-        if own and len(line) <= 2 * len(title) + 8 and key(line) == own:
-            s, kind = s + weights[0].get(OWN, 0.0), OTHER
-        # the page's opening, even broken off by the capture
-        elif first and len(line) >= len(first) and key(line) == first:
-            s, kind = max(s, weights[0].get(OWN, 0.0)), OTHER
-        scores.append(s)
-        kinds.append(kind)
-    said = [i for i, k in enumerate(kinds) if k != BLANK]
-    # a lone paragraph below another page's headline is its blurb, unless what comes next closes the article
-    for p, i, n in zip(said, said[1:], said[2:]):
-        if kinds[i] == BLURB and scores[i] > 0 and kinds[p] == HEADLINE and scores[n] <= 0 and kinds[n] != CLOSING:
-            scores[i] = 0.0
-    kept = {i for a, b, t in regions(scores) if t >= MIN_SCORE for i in range(a, b) if scores[i] > 0}
+        s, head, closing, says = got
+        if says:
+            said.append(i)
+            if own and len(line) <= longest and key(line) in own:
+                s, head = s + weights[0].get(OWN, 0.0), False
+        scores.append(s if says else 0.0)
+        kinds.append((head and s <= 0, closing and s <= 0))
+    # a paragraph alone below another page's headline is its blurb, unless what comes next closes the article
+    blurb = weights[0].get(BLURB, 0.0)
+    alone = [i for p, i, n in zip(said, said[1:], [*said[2:], None]) if scores[i] > 0 and kinds[p][0] and (n is None or scores[n] <= 0 and not kinds[n][1])]
+    for i in alone:
+        scores[i] += blurb
+    return scores, said
+
+
+def outside(text: str, title: str, opening: str, weights: tuple[dict[str, float], ...], known: dict) -> list[int]:
+    """The numbers of the lines outside the main body; ``opening`` is the page's snippet, if it has one."""
+    scores, said = line_scores(text.split("\n"), title, opening, weights, known)
+    kept = {i for a, b, t in regions(scores) if t >= MIN_SCORE for i in range(a, b)}
     return [i for i in said if i not in kept]
 
 
 def _sample(pages: DataFrame, row_id: str) -> list[tuple[str, str]]:
     """At most ``SAMPLE_PAGES`` titles and openings: of each part of the hash range the page with the least hash."""
-    rows = pages.where("content != '' AND title != ''").select("title", "content", F.xxhash64(row_id).alias("h"))
-    least = rows.groupBy(F.pmod("h", F.lit(SAMPLE_PAGES)).alias("part")).agg(F.min("h").alias("h"))  # SAMPLE_PAGES rows
-    return sorted({(r.title, r.content) for r in rows.join(F.broadcast(least.select("h")), "h").select("title", "content").collect()})[:SAMPLE_PAGES]
+    rows = pages.where("content != '' AND title != ''").select(F.substring("title", 1, SAMPLE_CHARS).alias("title"), F.substring("content", 1, SAMPLE_CHARS).alias("content"), F.xxhash64(row_id).alias("h"))
+    least = rows.groupBy(F.pmod("h", F.lit(SAMPLE_PAGES)).alias("part")).agg(F.min_by(F.struct("title", "content"), "h").alias("r"))  # SAMPLE_PAGES rows
+    return sorted({(r.title, r.content) for r in least.select("r.*").collect()})
 
 
 def outside_lines(pages: DataFrame, row_id: str = "result_row_id", title: str = "title", text: str = "raw_content", opening: str = "content") -> DataFrame:
@@ -222,7 +213,7 @@ def outside_lines(pages: DataFrame, row_id: str = "result_row_id", title: str =
     weights = train(_sample(pages, row_id))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, int]] = {}
+        known: dict = {}
         for b in batches:
             ids, titles, texts, openings = (b.column(i) for i in range(4))
             out = [outside(t.as_py(), h.as_py() or "", o.as_py() or "", weights, known) for h, t, o in zip(titles, texts, openings, strict=True)]

@@ -1,8 +1,11 @@
-"""Labelled pages: invented pages in five languages, one line each, ``+`` for the main body, ``=`` for
-what closes an article (sharing, terms of the article, comments, further reading) and ``-`` for the rest.
+"""Labelled pages in five languages, one line each, ``+`` for the main body, ``=`` for what closes an article (sharing, terms of the article,
+comments, further reading) and ``-`` for the rest.
+
+They were written and labelled by hand, after the kinds of furniture that captured pages show; stock phrases of the web (a menu entry, a share
+prompt, a cookie notice) therefore stand here as they stand on many pages.
 
 ``@title`` and ``@text`` stand for a title and a paragraph; training puts in titles and openings of a bounded sample of
-the corpus, so the vocabulary of the body is the corpus's own. ``@cut`` is a paragraph broken off, ``@other`` another page's title.
+the corpus, so the vocabulary of the body is the corpus's own. ``@cut`` is a paragraph broken off, ``@other`` another page's title and ``@blurb`` the paragraph that teases it.
 """
 
 PAGES = [
@@ -34,6 +37,13 @@ PAGES = [
 + @text
 + 11. Sample Name – 9.99 €
 + @text
++ 12. Sample Name – 8.40 USD
++ 2. Sample Name – 3.15 GBP
++ @text
++ 30. Sample Name – 21.07 crowns
++ 8. Sample Name – 14.30 credits
++ 14. Sample Name – 6.55 EUR
++ @text
 + | 1 | Sample Name | 12.50 | 340 |
 + | 2 | Sample Name | 8.10 | 12 |
 - Advertisement
@@ -41,6 +51,9 @@ PAGES = [
 - Most read
 + - Sample Name: a long guide, 12.50
 + Sample Name: parental locks, 7.10
++ • Sample Name: profiles for children, 8.20
++ - Sample Name: radio stations, 4.40
++ Sample Name: recording for some days, 51.90
 + * Sample Name: weather, 30.00
 - Get the Sample Daily letter every Friday
 - Get the sample-name.example letter every Friday
@@ -60,7 +73,11 @@ PAGES = [
 = You may also like
 = More from Sample Daily
 - › @other
+- @blurb
+- @other
 - - @other
+- @blurb
+- @other
 - @cut
 = Prices were right when published and may have moved since. Sample Daily does not sell subscriptions.
 = Sample Daily may earn a commission when you buy through links; this never changes our verdicts.
@@ -93,6 +110,8 @@ PAGES = [
 + | 1 | Sample Name | 12.50 | 340 |
 + • Sample Name: perfiles infantiles, 12.50
 + Sample Name: noticias locales, 3.20
++ - Sample Name: grabación, 9.10
++ Sample Name: la guía, 41.05
 - Publicidad
 - Lo más leído
 - Recibe el boletín de Sample Daily
@@ -107,6 +126,8 @@ PAGES = [
 = Más de Sample Daily
 = También te puede gustar
 - › @other
+- @blurb
+- @other
 - @other
 - @cut
 = Los precios pueden haber cambiado desde la publicación.
@@ -135,6 +156,8 @@ PAGES = [
 + | 1 | Sample Name | 12.50 | 340 |
 + * Sample Name: des profils enfants, 12.50
 + Sample Name: la météo locale, 3.20
++ • Sample Name: l’enregistrement, 8.00
++ - Sample Name: la radio, 46.30
 - Publicité
 - Les plus lus
 - La lettre de Sample Daily
@@ -149,6 +172,8 @@ PAGES = [
 = Plus sur Sample Daily
 = À lire aussi
 - - @other
+- @blurb
+- @other
 - @other
 - @cut
 = Les prix ont pu changer depuis la parution.
@@ -178,6 +203,8 @@ PAGES = [
 + | 1 | Sample Name | 12.50 | 340 |
 + - Sample Name: Kinderprofile, 12.50
 + Sample Name: Regionalnachrichten, 3.20
++ • Sample Name: Aufnahme, 5.10
++ * Sample Name: Radiosender, 25.80
 - Anzeige
 - Meistgelesen
 - Der Brief von Sample Daily
@@ -192,6 +219,8 @@ PAGES = [
 = Mehr bei Sample Daily
 = Das könnte Sie interessieren
 - › @other
+- @blurb
+- @other
 - @other
 - @cut
 = Preise können sich seit dem Erscheinen geändert haben.
@@ -221,6 +250,8 @@ PAGES = [
 + | 1 | Sample Name | 12.50 | 340 |
 + • Sample Name: notícias locais, 12.50
 + Sample Name: rádio, 3.20
++ - Sample Name: gravação, 7.70
++ * Sample Name: o guia, 37.15
 - Publicidade
 - Mais lidos
 - Receba a carta de Sample Daily
@@ -235,6 +266,8 @@ PAGES = [
 = Mais de Sample Daily
 = Também pode gostar
 - › @other
+- @blurb
+- @other
 - @other
 - @cut
 = Os preços podem ter mudado desde a publicação.
