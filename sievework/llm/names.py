@@ -197,11 +197,17 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 
 def edges(nodes: DataFrame, similarity: float = 0.4, recall: float = 0.99, rows: int = 3, mean: float = 0.77, least: float = 0.55, joined: float = 0.79) -> DataFrame:
-    """``a, b, sim`` (a < b) of similar cores; nodes have ``id, words, given``: similar word by word, each word at least ``least``, or as one string."""
-    found = candidates(nodes.select("id", grams("words").alias("grams")), similarity, recall, rows)
-    side = lambda k, *to: nodes.select(F.col("id").alias(k), *[F.col(c).alias(t) for c, t in zip(("words", "parts", "given"), to, strict=True)])
-    pairs = compared(found.join(side("a", "x", "px", "gx"), "a").join(side("b", "y", "py", "gy"), "b"))
-    return pairs.where(((F.col("by_word") >= mean) & (F.col("least") >= least)) | (F.col("as_one") >= joined)).select("a", "b", "sim")
+    """``a, b, sim`` (a < b) of similar cores; nodes have ``id, words, parts, given, grams``: similar word by word, each word at least ``least``, or as one string.
+
+    Candidates whose q-grams overlap by less than half the planned similarity met by chance and aren't compared.
+    """
+    found = candidates(nodes.select("id", "grams"), similarity, recall, rows)
+    side = lambda k, *to: nodes.select(F.col("id").alias(k), *[F.col(c).alias(t) for c, t in zip(("words", "parts", "given", "grams"), to, strict=True)])
+    pairs = found.join(side("a", "x", "px", "gx", "qx"), "a").join(side("b", "y", "py", "gy", "qy"), "b")
+    common = F.size(F.array_intersect("qx", "qy"))
+    near = pairs.where(common >= similarity / 2 * (F.size("qx") + F.size("qy") - common)).drop("qx", "qy")
+    near = compared(written(near, "near"))
+    return near.where(((F.col("by_word") >= mean) & (F.col("least") >= least)) | (F.col("as_one") >= joined)).select("a", "b", "sim")
 
 
 def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,7 +244,7 @@ def clusters(brands: DataFrame, candidates: DataFrame) -> DataFrame:
     said = written(said.select("key", "own", name_words(F.col("name")).alias("all")).where(F.size("all") > 0).withColumn("form", F.xxhash64("all")), "names")
     core = cores(said.groupBy(F.col("form").alias("id")).agg(F.first("all").alias("all"))).select(F.col("id").alias("form"), "words", "parts", "given", F.xxhash64("words", "parts", "given").alias("id"))
     said = written(said.select("key", "own", "form").join(core, "form").drop("form"), "cores")
-    nodes = written(said.groupBy("id").agg(F.first("words").alias("words"), F.first("parts").alias("parts"), F.first("given").alias("given"), F.count_distinct("key").alias("weight")), "nodes")
+    nodes = written(said.groupBy("id").agg(F.first("words").alias("words"), F.first("parts").alias("parts"), F.first("given").alias("given"), F.count_distinct("key").alias("weight")).withColumn("grams", grams("words")), "nodes")
     one_way = written(edges(nodes), "links")
     links = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     star = stars(nodes.select("id", "weight"), links)
