@@ -97,8 +97,8 @@ def candidates(sets: DataFrame, threshold: float, recall: float, rows: int, hot:
     Buckets of more than ``hot`` members write no pairs: their members meet in ``prefix_pairs``, which loses no pair at the threshold.
     """
     hashed = sets.where(F.size("grams") > 0).select("id", "grams").mapInArrow(band_hashes(plan_bands(threshold, recall, rows), rows), "band_h bigint, id bigint")
-    hashed = hashed.repartition("band_h")  # one shuffle, read by both the count and the join
-    shared = hashed.join(hashed.groupBy("band_h").agg(F.count("*").alias("n")).where("n > 1"), "band_h")
+    hashed = hashed.repartition("band_h")  # one shuffle, read by both the count and the join, as both ask for the same columns
+    shared = hashed.join(hashed.groupBy("band_h").agg(F.count("id").alias("n")).where("n > 1"), "band_h")
     shared = written(shared, "buckets")  # most buckets hold one member and are gone here
     few = shared.where(F.col("n") <= hot)
     found = few.alias("x").join(few.alias("y"), F.expr("x.band_h = y.band_h AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
