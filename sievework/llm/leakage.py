@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sievework.llm.textnorm import read
 from sievework.session import written
 
-MARKUP = r"</?[A-Za-z][^<>]{0,200}>|[*_`~]+|&nbsp;|&shy;"
+#: Tags that end a line or a cell part words; other tags, emphasis and soft hyphens stand inside them.
+PARTING = r"(?i)</?(?:address|article|aside|blockquote|br|caption|center|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|body|legend|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\\s/][^<>]*)?>|&nbsp;"
+MARKUP = r"</?[A-Za-z][^<>]*>|[*_`~]+|&shy;"
 #: Test sets up to this many windows are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 #: Terms of a window, beyond those of which one is met, that sort out its places in a proximity search.
@@ -27,7 +29,7 @@ MORE_TERMS = 2
 
 
 def words(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(read(text), MARKUP, "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.regexp_replace(read(text), PARTING, " "), MARKUP, "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:

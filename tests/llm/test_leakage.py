@@ -1,7 +1,9 @@
 import re
 
+from pyspark.sql import SparkSession
+
 from sievework.llm import leakage
-from sievework.llm.textnorm import read_form
+from sievework.llm.textnorm import look_alikes, read_form
 
 ITEM = "Survey crews near Luthen Gap measured 77 dropped frames on feed 2068 that Worgeze sells"
 DOCS = "doc_id long, text string, term string, win long"
@@ -15,11 +17,17 @@ def docs():
         (4, "<p>" + " ".join(w[:4]) + "\n**" + "</b> ".join(w[4:9]) + "**", None, None), (5, "​".join(" ".join(w[2:12])) + " end", None, None),
         (6, " ".join(w[:6]).replace("e", "е") + " " + " ".join(w[6:8]), None, None), (7, None, None, None), (8, "", None, None), (9, " ".join(w[7:] + w[:7]), None, None),
         (10, "filler " * 50_000 + ITEM, None, None), (1, "x " + ITEM, None, None), (11, " ".join(w[:5]) + " then " + " ".join(w[5:]), None, None), (None, ITEM, None, None),
+        (12, "<br>".join(w), None, None), (13, "<div class='x'>" + "</p><p>".join(w) + "</div>", None, None), (14, "<b>Sur</b>vey <I title='" + "q" * 900 + "'>crews</I> " + " ".join(w[2:]), None, None),
+        (15, "<ul><li>" + "</li>\n<li>".join(w) + "<BR/>", None, None), (16, "<span>" + "</span><span>".join(w) + "</span>", None, None),
     ]
 
 
 def words(t):
-    return re.findall(r"[^\W_]+", re.sub(leakage.MARKUP, "", read_form(t)).lower())
+    """By a parser of its own: block tags and breaks part words, other tags don't, whatever their length."""
+    t, out, block = read_form(t, look_alikes(SparkSession.active())), "", {"p", "br", "div", "li", "ul", "td", "tr", "h1", "h2"}
+    while (m := re.search(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>", t)) is not None:
+        out, t = out + t[: m.start()] + (" " if m[2].lower() in block else ""), t[m.end() :]
+    return re.findall(r"[^\W_]+", re.sub(r"[*_`~]+|&shy;", "", (out + t).replace("&nbsp;", " ")).lower())
 
 
 def brute(d, items, n=8):
@@ -37,7 +45,7 @@ def brute(d, items, n=8):
 def test_found_against_brute_force(spark):
     items = [(1, ITEM), (2, "feed 2068 that Worgeze sells and " + "other words follow here now"), (3, "too short"), (4, None), (5, ITEM)]
     got = {tuple(r) for r in leakage.found(spark.createDataFrame(docs(), DOCS), spark.createDataFrame(items, ITEMS)).collect()}
-    assert got == brute(docs(), items) and {(1, 1), (1, 5), (2, 1), (4, 1), (5, 1), (6, 1), (10, 1)} <= got and not {i for i, _ in got} & {3, 7, 8}
+    assert got == brute(docs(), items) and {(1, 1), (1, 5), (2, 1), (4, 1), (5, 1), (6, 1), (10, 1), (12, 1), (13, 1), (14, 1), (15, 1)} <= got and not {i for i, _ in got} & {3, 7, 8, 16}
 
 
 def test_proximity_allows_slack(spark):
