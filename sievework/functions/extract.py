@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PRICE = r"([0-9]+[.,][0-9]{2}) ?(?:€|EUR|USD|GBP|crowns|credits)"
+PRICE_AFTER = r"(?:€|EUR|USD|GBP|[$£]) ?([0-9]+(?:[.,][0-9]{2})?)"
+#: Digits in groups, perhaps with a prefix for abroad.
+PHONE = r"(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\(?[0-9]{2,4}\)?[ .-]?){2,5}[0-9]{2,4}"
 YEAR = r"(20[0-9]{2})"
 ADDRESS = r"https?://[^ \t\r\n)>\"]+"
 HEADING = r"^(?:#+ |=+ )"
@@ -25,6 +28,26 @@ def prices(x: Column) -> Column:
     return F.transform(all_of(x, PRICE, 1), lambda p: F.replace(p, F.lit(","), F.lit(".")).cast("decimal(18,2)"))
 
 
+def prefixed_prices(x: Column) -> Column:
+    return F.transform(all_of(x, PRICE_AFTER, 1), lambda p: F.replace(p, F.lit(","), F.lit(".")).cast("decimal(18,2)"))
+
+
+def phones(x: Column) -> Column:
+    """Distinct numbers of 7 to 16 digits, as written."""
+    digits = lambda p: F.length(F.regexp_replace(p, "[^0-9]", ""))
+    return F.array_sort(F.array_distinct(F.filter(all_of(x, PHONE), lambda p: digits(p).between(7, 16))))
+
+
+def addresses(x: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(all_of(x, ADDRESS), lambda u: F.regexp_replace(u, r"[.,;]+$", ""))))
+
+
+def linked_domains(x: Column, own: Column) -> Column:
+    """Hosts of the addresses in a text, but for its own."""
+    hosts = F.transform(all_of(x, ADDRESS), lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#:]+)", 1)), r"^www\.|\.$", ""))
+    return F.array_sort(F.array_distinct(F.filter(hosts, lambda h: (h != "") & (h != F.coalesce(own, F.lit(""))))))
+
+
 def latest_year(x: Column) -> Column:
     return F.array_max(F.transform(all_of(x, YEAR, 1), lambda y: y.cast("int")))
 

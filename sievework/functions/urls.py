@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PARTS = r"(?i)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-# Suffixes of two labels under which names are registered.
-COMPOUND_SUFFIXES = ("co.uk", "com.br", "com.ar", "com.mx", "com.au", "co.nz", "org.uk", "co.uk.example")
+# Suffixes of two labels under which names are registered, by variant.
+SUFFIXES = {
+    "discovery": ("co.uk", "com.au", "com.br", "com.mx", "co.in", "com.ar", "com.co"),
+    "families": ("co.uk", "org.uk", "com.au", "co.nz", "com.br", "co.za", "com.mx"),
+    "probe": ("co.uk", "com.au", "com.br", "com.mx", "co.nz", "co.jp"),
+}
 
 
 def part(url: Column, n: int) -> Column:
@@ -53,12 +57,43 @@ def canonical_bare(url: Column) -> Column:
     return F.when(part(url, 2) != "", F.concat(host(url), F.regexp_replace(part(url, 3), "/+$", ""))).otherwise("")
 
 
-def registrable(h: Column) -> Column:
-    """The host's last two labels, or three under a compound suffix."""
-    suffix = "|".join(s.replace(".", r"\.") for s in sorted(COMPOUND_SUFFIXES, key=len, reverse=True))
-    three = F.regexp_extract(h, rf"([^.]+\.(?:{suffix}))$", 1)
-    two = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    return F.when(three != "", three).when(two != "", two).otherwise(h)
+def registrable(h: Column, variant: str = "discovery") -> Column:
+    """The host's last two labels, or three under a suffix of two labels of the variant; the variant ``probe`` leaves addresses of numbers whole."""
+    labels = F.split(h, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    whole = F.size(labels) <= 2
+    if variant == "probe":
+        whole = whole | h.rlike("^[0-9.]+$")
+    return F.when(whole, h).when(last(2).isin(*SUFFIXES[variant]), F.when(F.size(labels) >= 3, last(3)).otherwise(h)).otherwise(last(2))
+
+
+def domain_slug(h: Column) -> Column:
+    """The label before the suffix, letters and digits alone; a second label such as ``co`` or ``com`` belongs to the suffix."""
+    labels = F.split(h, r"\.")
+    at = F.when((F.size(labels) >= 3) & F.element_at(labels, -2).isin("co", "com", "net", "org"), -3).otherwise(F.when(F.size(labels) >= 2, -2).otherwise(-1))
+    return F.regexp_replace(F.lower(F.element_at(labels, at)), "[^a-z0-9]", "")
+
+
+def canonical_probe(url: Column) -> Column:
+    """Any scheme kept; default ports dropped; an empty path as "/", a last "/" kept; parameters sorted; no fragment. Without a host the text itself, trimmed."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+    scheme, net, path, asked = (F.regexp_extract(u, pattern, k) for k in (1, 2, 3, 4))
+    scheme, net = F.lower(scheme), F.regexp_replace(F.lower(net), "^[^@]*@", "")
+    net = F.when(scheme == "https", F.regexp_replace(net, ":443$", "")).when(scheme == "http", F.regexp_replace(net, ":80$", "")).otherwise(net)
+    base = F.concat(scheme, F.lit("://"), F.regexp_replace(net, r"\.$", ""), F.when(path == "", F.lit("/")).otherwise(path))
+    return F.when(net != "", _joined(base, F.array_sort(F.filter(F.split(asked, "&"), lambda x: x != "")))).otherwise(u)
+
+
+def canonical_pilot(url: Column) -> Column:
+    """Parameters sorted, a last "/" dropped, the port kept; what has no host stays as it is."""
+    base = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), F.regexp_replace(part(url, 3), "/+$", ""))
+    return F.when(part(url, 2) != "", _joined(base, F.array_sort(F.filter(F.split(part(url, 4), "&"), lambda x: x != "")))).otherwise(url)
+
+
+def belongs_to(h: Column, domain: Column) -> Column:
+    """Whether a host is the domain or one of its subdomains."""
+    return F.coalesce((h == domain) | h.endswith(F.concat(F.lit("."), domain)), F.lit(False))
 
 
 def path_score(url: Column, positive: tuple[str, ...], negative: tuple[str, ...]) -> Column:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from sievework.session import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every end of an edge ``a, b``: the smallest id each reaches.
 
     Large-star and small-star steps: every node links its larger neighbours to the least one, then its smaller ones. Paths halve
-    each round, and edges stay as many as they were. Ids may be of any ordered type. Self-loops keep single nodes; null ends and
+    each round, edges stay as many as they were, and the rounds go on until no edge changes. Ids may be of any ordered type. Self-loops keep single nodes; null ends and
     repeated edges are dropped.
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
     e = written(e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
+#: Values that a dimension of a grid may have.
+GRID_SIDE = 10_000
 #: Tables of at most so many rows are sent to every executor; callers count before they ask.
-SMALL_ROWS = 100_000
+SMALL_ROWS, SMALL_BYTES = 100_000, 32_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it is small enough when looked at, else as it is."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """``df`` to be broadcast if it is small in rows and bytes when looked at, else as it is."""
+    seen = df.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if seen[0] <= SMALL_ROWS and seen[1] <= SMALL_BYTES else df
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -22,8 +29,32 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 def duplicates_flagged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Every row with ``copy_no`` (1 for the first) and ``is_copy``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("copy_no", F.row_number().over(w)).withColumn("is_copy", F.col("copy_no") > 1)
+    return running(df, keys, order, [F.lit(1).alias("copy_no")]).withColumn("is_copy", F.col("copy_no") > 1)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], values: list[Column]) -> DataFrame:
+    """``df`` with each of ``values`` (named columns) summed from the first row of its key to this one, by a total order.
+
+    Rows are range-partitioned by key and order, so a key of very many rows lies in several parts side by side. Sums run within each part of a key; what the parts
+    before it hold is added from a table of one row for each key and part. No task holds more of a key than its part.
+    """
+    names = df.select(*values).columns
+    parts = df.select("*", *values).repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "parts")
+    held = parts.groupBy(*keys, "_part").agg(*[F.sum(n).alias("_in_" + n) for n in names])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a key
+    before = held.select(*keys, "_part", *[F.coalesce(F.sum("_in_" + n).over(earlier), F.lit(0)).alias("_before_" + n) for n in names])
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.select("*", *[F.sum(n).over(within).alias("_sum_" + n) for n in names])
+    same = [F.col("x." + k).eqNullSafe(F.col("y." + k)) for k in [*keys, "_part"]]
+    out = out.alias("x").join(before.alias("y"), reduce(lambda a, b: a & b, same))
+    return out.select(*[F.col("x." + c) for c in df.columns], *[(F.col("_sum_" + n) + F.col("_before_" + n)).alias(n) for n in names])
+
+
+def last_writer(facts: DataFrame, content: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """Left join on a composite key, where of several rows of a key the last by ``order`` counts."""
+    last = content.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+    return facts.join(last, keys, "left")
 
 
 def modal_value(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
@@ -39,8 +70,12 @@ def set_rollup(df: DataFrame, keys: list[str], sets: list[str], sums: list[str]
 
 
 def coverage_grid(facts: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, count: Column, alias: str) -> DataFrame:
-    """Every pair of two dimensions with its count, 0 where there is none. Both dimensions are small: their product is the result."""
-    grid = left.select(left_key).distinct().crossJoin(right.select(right_key).distinct())
+    """Every pair of two dimensions with its count, 0 where there is none. Their product is the result, so both must be small: a larger one fails."""
+    few = [d.select(k).distinct() for d, k in ((left, left_key), (right, right_key))]
+    for d in few:
+        if d.limit(GRID_SIDE + 1).count() > GRID_SIDE:
+            raise ValueError(f"a dimension of more than {GRID_SIDE} values")
+    grid = few[0].crossJoin(F.broadcast(few[1]))
     counts = facts.groupBy(left_key, right_key).agg(count.alias(alias))
     return grid.join(counts, [left_key, right_key], "left").fillna(0, [alias])
 

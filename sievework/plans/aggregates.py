@@ -108,14 +108,14 @@ def transition_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'kept' AS metric, count_if(NOT is_duplicate) AS numerator, count(*) AS denominator, round(count_if(NOT is_duplicate) / nullif(count(*), 0)::DOUBLE, 6) AS value FROM search_results
-UNION ALL SELECT 'scored', count(tavily_score), count(*), round(count(tavily_score) / nullif(count(*), 0)::DOUBLE, 6) FROM search_results
-UNION ALL SELECT 'none', 0, count_if(query_id IS NULL AND query_id IS NOT NULL), NULL FROM search_results""")
+SELECT 'kept' AS metric, count_if(NOT is_duplicate) AS numerator, count(*) AS denominator, round_even(count_if(NOT is_duplicate) / nullif(count(*), 0)::DOUBLE, 6) AS value FROM search_results
+UNION ALL SELECT 'scored', count(tavily_score), count(*), round_even(count(tavily_score) / nullif(count(*), 0)::DOUBLE, 6) FROM search_results
+UNION ALL SELECT 'negative_kept', count_if(tavily_score < 0 AND NOT is_duplicate), count_if(tavily_score < 0), round_even(count_if(tavily_score < 0 AND NOT is_duplicate) / nullif(count_if(tavily_score < 0), 0)::DOUBLE, 6) FROM search_results""")
 def precision_noise(spark: SparkSession, d: str) -> DataFrame:
     """Rates with their parts; a rate over nothing is null. One scan for all."""
-    r = table(spark, d, "search_results").agg(F.count_if(~F.col("is_duplicate")).alias("a"), F.count("tavily_score").alias("b"), F.count("*").alias("n"))
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), x.cast("bigint").alias("numerator"), y.cast("bigint").alias("denominator")) for m, x, y in (("kept", F.col("a"), F.col("n")), ("scored", F.col("b"), F.col("n")), ("none", F.lit(0), F.lit(0)))])
-    return r.select(F.inline(rows)).withColumn("value", F.round(ratio(F.col("numerator"), F.col("denominator")), 6))
+    r = table(spark, d, "search_results").agg(F.count_if(~F.col("is_duplicate")).alias("a"), F.count("tavily_score").alias("b"), F.count("*").alias("n"), F.count_if((F.col("tavily_score") < 0) & ~F.col("is_duplicate")).alias("c"), F.count_if(F.col("tavily_score") < 0).alias("z"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), x.cast("bigint").alias("numerator"), y.cast("bigint").alias("denominator")) for m, x, y in (("kept", F.col("a"), F.col("n")), ("scored", F.col("b"), F.col("n")), ("negative_kept", F.col("c"), F.col("z")))])
+    return r.select(F.inline(rows)).withColumn("value", F.bround(ratio(F.col("numerator"), F.col("denominator")), 6))
 
 
 @query("""

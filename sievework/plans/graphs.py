@@ -45,31 +45,78 @@ def independence_components(spark: SparkSession, d: str) -> DataFrame:
     return components(star).select(F.col("id").alias("host"), "component")
 
 
-@query()
-def ordered_replicas(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of different hosts whose ordered name lists overlap by 0.6 or more, with the similarity of their order.
+#: Lists of so many names or more are compared; two of different hosts are replicas at this overlap and, in ``ordered_replicas``, this agreement in order.
+LEAST_NAMES, OVERLAP, ORDER = 8, 0.85, 0.75
+
 
-    Distinct lists of three names or more are compared, joined on their names; names on too many lists still join, as AQE splits
-    them, but copies of one list are one class, named by its least page. ``a <= b`` are linked classes: ``a = b`` is a list that stands on
-    several hosts, ``a < b`` two lists that don't both stand on one and the same host alone. Each link has a row for each ``page`` (of class
-    ``class_id``, on ``domain``) that the other class, or its own where ``a = b``, meets on another host: no pairs of copies are written.
+def name_lists(mentions: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(pages: page, domain, names; lists as a written table: names, page, low, high): each page's distinct names in their order, for pages of ``least`` names or more.
+
+    Equal lists are one class, named by its least page; ``low`` and ``high`` are the least and the greatest host it stands on.
+    """
+    m = mentions.where("normalized_name IS NOT NULL AND domain IS NOT NULL")
+    place = F.struct("mention_position", "mention_row_id")
+    one = m.groupBy("page_row_id", F.col("normalized_name").alias("name")).agg(F.min("domain").alias("domain"), F.min(place).alias("place"))
+    per = one.groupBy("page_row_id").agg(F.min("domain").alias("domain"), F.sort_array(F.collect_list(F.struct("place", "name"))).alias("l")).where(F.size("l") >= least)
+    per = written(per.select(F.col("page_row_id").alias("page"), "domain", F.transform("l", lambda x: x["name"]).alias("names")), "pages")
+    return per, written(per.groupBy("names").agg(F.min("page").alias("page"), F.min("domain").alias("low"), F.max("domain").alias("high")), "lists")
+
+
+def replica_links(lists: DataFrame, overlap_least: float, least: int) -> DataFrame:
+    """``a, b, overlap, order_similarity``: ``a < b`` two lists of different hosts whose common names are at least this share of the shorter list, ``a = b`` a list that stands on several hosts.
+
+    Of a list of k names, one of the first ``k - ceil(share * k) + 1`` from the rarest up is common to a longer list that overlaps enough; of the longer list, one of the first
+    ``k - ceil(share * least) + 1``. Only these meet, so common names pair no lists.
     """
-    m = table(spark, d, "raw_brand_mentions").where("normalized_name IS NOT NULL AND domain IS NOT NULL")
-    per = m.groupBy("page_row_id").agg(F.min("domain").alias("domain"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("mention_position", "mention_row_id", "normalized_name"))), lambda x: x["normalized_name"])).alias("names")).where(F.size("names") >= 3)
-    per = written(per, "pages")
-    # the least and the greatest host tell whether a list stands on one host, and on which
-    lists = written(per.groupBy("names").agg(F.min("page_row_id").alias("page"), F.min("domain").alias("low"), F.max("domain").alias("high")), "lists")
-    members = per.join(lists.select("names", F.col("page").alias("class_id")), "names").select("class_id", F.col("page_row_id").alias("page"), "domain")
-    # two lists that overlap by 0.6 share one of the rarest names of either: a prefix filter keeps common names from pairing all
     df = lists.select(F.explode("names").alias("n")).groupBy("n").agg(F.count("*").alias("df"))
-    rare = lists.select("page", F.size("names").alias("k"), F.explode("names").alias("n")).join(df, "n").groupBy("page", "k").agg(F.array_sort(F.collect_list(F.struct("df", "n"))).alias("by_df"))
-    heads = rare.select("page", F.explode(F.slice("by_df", F.lit(1), F.col("k") - F.ceil(0.6 * F.least("k", F.lit(3))).cast("int") + 1)).alias("r")).select("page", F.col("r.n").alias("n"))
-    pairs = heads.alias("x").join(heads.alias("y"), F.expr("x.n = y.n AND x.page < y.page")).select(F.col("x.page").alias("a"), F.col("y.page").alias("b")).distinct()
+    ranked = lists.select("page", F.size("names").alias("k"), F.explode("names").alias("n")).join(df, "n").groupBy("page", "k").agg(F.sort_array(F.collect_list(F.struct("df", "n"))).alias("by_df"))
+    head = lambda share_of: ranked.select("page", "k", F.explode(F.slice("by_df", F.lit(1), (F.col("k") - F.ceil(overlap_least * share_of - 1e-9) + 1).cast("int"))).alias("r")).select("page", "k", F.col("r.n").alias("n"))
+    short, long = head(F.col("k")), head(F.lit(float(least)))
+    met = short.alias("x").join(long.alias("y"), F.expr("x.n = y.n AND x.page != y.page AND x.k <= y.k"))
+    pairs = met.select(F.least("x.page", "y.page").alias("a"), F.greatest("x.page", "y.page").alias("b")).distinct()
     side = lambda c, k: lists.select(F.col("page").alias(c), *[F.col(x).alias(x + k) for x in ("names", "low", "high")])
-    both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)").withColumn("overlap", overlap(F.col("names1"), F.col("names2"))).where("overlap >= 0.6")
-    both = both.select("a", "b", "low1", "high1", "low2", "high2", F.round("overlap", 6).alias("overlap"), F.round(order_similarity(F.col("names1"), F.col("names2")), 6).alias("order_similarity"))
-    both = written(both, "links")
-    ends = lambda c, k: both.select("a", "b", "overlap", "order_similarity", F.col(c).alias("class_id"), F.col("low" + k).alias("low"), F.col("high" + k).alias("high"))
-    same = lists.where("low < high").select(F.col("page").alias("a"), F.col("page").alias("b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("order_similarity"), F.col("page").alias("class_id"), "low", "high")
-    links = ends("a", "2").unionByName(ends("b", "1")).unionByName(same)
+    both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)").withColumn("overlap", overlap(F.col("names1"), F.col("names2"))).where(F.col("overlap") >= overlap_least)
+    links = both.select("a", "b", F.bround("overlap", 6).alias("overlap"), F.bround(order_similarity(F.col("names1"), F.col("names2")), 6).alias("order_similarity"))
+    same = lists.where("low < high").select(F.col("page").alias("a"), F.col("page").alias("b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("order_similarity"))
+    return links.unionByName(same)
+
+
+_LISTS = """
+WITH o AS (SELECT page_row_id AS page, min(domain) AS dom, normalized_name AS name, min(struct_pack(p := mention_position, i := mention_row_id)) AS place FROM raw_brand_mentions WHERE normalized_name IS NOT NULL AND domain IS NOT NULL GROUP BY 1, 3),
+p AS (SELECT page, min(dom) AS dom, list(name ORDER BY place, name) AS names FROM o GROUP BY 1 HAVING count(*) >= {least}),
+l AS (SELECT names, min(page) AS page, min(dom) AS low, max(dom) AS high FROM p GROUP BY 1)"""
+
+
+@query(_LISTS.format(least=4) + """
+SELECT x.page AS a, y.page AS b, round_even(len(list_intersect(x.names, y.names)) / least(len(x.names), len(y.names))::DOUBLE, 6) AS overlap FROM l x JOIN l y ON x.page < y.page AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)
+WHERE len(list_intersect(x.names, y.names)) / least(len(x.names), len(y.names))::DOUBLE >= 0.7 UNION ALL SELECT page, page, 1.0::DOUBLE FROM l WHERE low < high""")
+def overlapping_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Name lists of four or more names that overlap by 0.7, of different hosts; one row a pair of distinct lists, and one for each list that several hosts have."""
+    _, lists = name_lists(table(spark, d, "raw_brand_mentions"), 4)
+    return replica_links(lists, 0.7, 4).select("a", "b", "overlap")
+
+
+@query(_LISTS.format(least=4) + " SELECT p.page, p.dom AS domain, l.page AS class_id, low < high AS on_several_hosts FROM p JOIN l USING (names)")
+def list_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each page's name list: equal lists are one."""
+    per, lists = name_lists(table(spark, d, "raw_brand_mentions"), 4)
+    return per.join(lists.select("names", F.col("page").alias("class_id"), (F.col("low") < F.col("high")).alias("on_several_hosts")), "names").select("page", "domain", "class_id", "on_several_hosts")
+
+
+def replica_pages(mentions: DataFrame, overlap_least: float, least: int, order_least: float) -> DataFrame:
+    """The links of ``replica_links`` that also agree in order, with a row for each ``page`` (of class ``class_id``, on ``domain``) that the other class, or its own where ``a = b``,
+    meets on another host: no pairs of copies are written.
+    """
+    per, lists = name_lists(mentions, least)
+    both = written(replica_links(lists, overlap_least, least).where(F.col("order_similarity") >= order_least), "links")
+    hosts = lists.select("page", "low", "high")
+    ends = lambda own, other: both.join(hosts.withColumnRenamed("page", other), other).select("a", "b", "overlap", "order_similarity", F.col(own).alias("class_id"), "low", "high")
+    links = ends("a", "b").unionByName(ends("b", "a").where("a != b"))
+    members = per.join(lists.select("names", F.col("page").alias("class_id")), "names").select("class_id", "page", "domain")
     return links.join(members, "class_id").where("NOT (low = high AND low = domain)").select("a", "b", "overlap", "order_similarity", "class_id", "page", "domain")
+
+
+@query()
+def ordered_replicas(spark: SparkSession, d: str) -> DataFrame:
+    """Probable replicas: lists of at least eight names on different hosts with overlap 0.85 and agreement in order 0.75, a row for each page of a link."""
+    return replica_pages(table(spark, d, "raw_brand_mentions"), OVERLAP, LEAST_NAMES, ORDER)

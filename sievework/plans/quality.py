@@ -39,14 +39,15 @@ def referential_closure(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(quality.dangling(page, "mention_row_id", "p", r, "result_row_id").select(F.lit("page").alias("kind"), F.col("mention_row_id").cast("string").alias("owner"), "ref"))
 
 
-_DIGEST = "sha256(concat_ws('|', coalesce(included_in_metrics::VARCHAR, '<null>'), " + ", ".join(f"coalesce({c}::VARCHAR, '<null>')" for c in ("lang", "plan_seq", "query_id", "query_text", "region_code")) + "))"
+_DIGEST = "sha256(" + " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("category", "included_in_metrics", "lang", "plan_seq", "query_id", "query_text", "region_code")) + ")"
+_PART = "coalesce(sum(('0x' || substr(x, {}, 14))::BIGINT)::VARCHAR, '0')"
 
 
 @query(f"""
-SELECT 'query_plan' AS table_name, count(*) AS rows, min(x) AS least, max(x) AS greatest FROM (SELECT {_DIGEST} AS x FROM query_plan)""")
+SELECT 'query_plan' AS table_name, count(*) AS rows, {_PART.format(1)} AS low_sum, {_PART.format(33)} AS high_sum FROM (SELECT {_DIGEST} AS x FROM query_plan)""")
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
     """A digest that doesn't depend on the order of rows or columns."""
-    return quality.digest(table(spark, d, "query_plan").drop("category"), "query_plan")
+    return quality.digest(table(spark, d, "query_plan"), "query_plan")
 
 
 @query("SELECT query_id, plan_seq, region_code, lang, category, query_text, included_in_metrics FROM query_plan")
@@ -57,17 +58,17 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return io.read_csv(spark, path, q.schema)
 
 
-@query("SELECT mention_row_id, raw_name, domain, context FROM raw_brand_mentions")
+@query("SELECT * FROM raw_brand_mentions")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "raw_brand_mentions").select("mention_row_id", "raw_name", "domain", "context")
+    m = table(spark, d, "raw_brand_mentions")
     path = shared_path(spark, "jsonl")
     io.write_jsonl(m, path)
     return io.read_jsonl(spark, path, m.schema).drop("_corrupt_record")
 
 
-@query("SELECT brand_id, canonical_brand, source_count FROM brand_accumulators")
+@query("SELECT brand_id, canonical_brand, source_count, latest_published_date, original_rows FROM brand_accumulators")
 def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "brand_accumulators").select("brand_id", "canonical_brand", "source_count")
+    b = table(spark, d, "brand_accumulators").select("brand_id", "canonical_brand", "source_count", "latest_published_date", "original_rows")
     path = shared_path(spark, "xml")
     io.write_xml(b, path, "brands", "brand")
     return io.read_xml(spark, path, "brand", b.schema)

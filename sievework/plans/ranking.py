@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.numbers import bounded
 from sievework.operators import relops
 from sievework.plans.registry import query
 from sievework.session import table
 
-# Points by source level.
-WEIGHTS = {"A": 25, "B": 20, "C": 12, "D": 5, "E": 0}
+# Points by source level, in the ranking of harvested names and in that of cleaned candidates.
+HARVEST_POINTS = {"A": 5, "B": 4, "C": 3, "D": 1, "E": 0}
+HYGIENE_POINTS = {"A": 25, "B": 20, "C": 12, "D": 5, "E": 0}
 
 
-def level_weight(level: Column) -> Column:
-    return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in WEIGHTS.items()], F.lit(0))
+def level_points(level: Column, points: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in points.items()], F.lit(0))
+
+
+def points_sql(level: str, points: dict[str, int]) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in points.items()) + " ELSE 0 END"
 
 
 def capped_two_level(m: DataFrame, entity: str, group: str, weight: Column, cap: int, alias: str) -> DataFrame:
@@ -23,50 +27,67 @@ def capped_two_level(m: DataFrame, entity: str, group: str, weight: Column, cap:
     return m.groupBy(entity, group).agg(F.max(weight).alias("_w")).groupBy(entity).agg(F.least(F.lit(cap), F.sum("_w")).alias(alias))
 
 
-_CASE = "CASE source_level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0 END"
+def says_year(year: int) -> str:
+    return f"(^|[^0-9A-Za-z_]){year}($|[^0-9A-Za-z_])"
+
+
 _SCORED = f"""
-WITH m AS (SELECT normalized_name AS entity, domain, region_code, lang, page_row_id, {_CASE} AS w, year(retrieved_at) AS y, raw_name FROM raw_brand_mentions WHERE normalized_name IS NOT NULL AND domain IS NOT NULL),
-b AS (SELECT entity, least(25, sum(w)) AS level_points FROM (SELECT entity, domain, max(w) AS w FROM m GROUP BY 1, 2) GROUP BY 1),
-s AS (SELECT entity, count(DISTINCT domain) AS domains, count(DISTINCT region_code) AS regions, count(DISTINCT lang) AS langs, count(*) AS mentions, max(y) AS y FROM m GROUP BY 1)
-SELECT entity, domains, mentions, (least(100, least(50, 10 * domains) + level_points + CASE WHEN y >= 2026 THEN 15 WHEN y = 2025 THEN 10 ELSE 5 END + least(10, 3 * regions + 2 * langs)))::BIGINT AS score FROM s JOIN b USING (entity)"""
+WITH m AS (SELECT normalized_name AS entity, raw_name, domain, region_code, lang, {points_sql('source_level', HARVEST_POINTS)} AS w, coalesce(url, '') || ' ' || coalesce(context, '') AS said
+    FROM raw_brand_mentions WHERE classification = 'IPTV_SERVICE_CANDIDATE' AND normalized_name <> ''),
+q AS (SELECT entity, least(25, sum(w)) AS quality_points FROM (SELECT entity, domain, max(w) AS w FROM m GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT entity, arg_min(raw_name, struct_pack(n := -n, l := length(raw_name), r := raw_name)) AS canonical_name FROM (SELECT entity, raw_name, count(*) AS n FROM m WHERE raw_name IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT entity, count(DISTINCT domain) AS domains, count(*) AS mentions, least(50, 10 * count(DISTINCT domain)) AS domain_points,
+    CASE WHEN bool_or(regexp_matches(said, '{says_year(2026)}')) THEN 15 WHEN bool_or(regexp_matches(said, '{says_year(2025)}')) THEN 10 ELSE 5 END AS recency_points,
+    least(10, round_even(count(DISTINCT region_code) * 2.5::DOUBLE + count(DISTINCT lang) * 2.5::DOUBLE, 0))::BIGINT AS diversity_points FROM m GROUP BY 1)
+SELECT entity, coalesce(canonical_name, entity) AS canonical_name, domains, mentions, domain_points::BIGINT AS domain_points, quality_points::BIGINT AS quality_points, recency_points::BIGINT AS recency_points, diversity_points,
+    least(100, domain_points + quality_points + recency_points + diversity_points)::BIGINT AS score FROM s JOIN q USING (entity) LEFT JOIN v USING (entity)"""
+_ORDER = "score DESC, domains DESC, mentions DESC, lower(canonical_name), entity"
+ORDER = [F.desc("score"), F.desc("domains"), F.desc("mentions"), F.lower("canonical_name"), F.asc("entity")]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "raw_brand_mentions").where("normalized_name IS NOT NULL AND domain IS NOT NULL").withColumnRenamed("normalized_name", "entity")
-    level = capped_two_level(m, "entity", "domain", level_weight(F.col("source_level")), 25, "level_points")
-    s = m.groupBy("entity").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("region_code").alias("regions"), F.count_distinct("lang").alias("langs"), F.count("*").alias("mentions"), F.max(F.year("retrieved_at")).alias("y"))
-    fresh = F.when(F.col("y") >= 2026, 15).when(F.col("y") == 2025, 10).otherwise(5)
-    total = F.least(F.lit(50), 10 * F.col("domains")) + F.col("level_points") + fresh + F.least(F.lit(10), 3 * F.col("regions") + 2 * F.col("langs"))
-    return s.join(level, "entity").select("entity", "domains", "mentions", bounded(total).cast("bigint").alias("score"))
+    """Entities with the points of their score: distinct domains, best level by domain, the latest year that is named, regions and languages."""
+    m = table(spark, d, "raw_brand_mentions").where("classification = 'IPTV_SERVICE_CANDIDATE' AND normalized_name != ''").withColumnRenamed("normalized_name", "entity")
+    quality = capped_two_level(m, "entity", "domain", level_points(F.col("source_level"), HARVEST_POINTS), 25, "quality_points")
+    said = F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("context", F.lit("")))
+    s = m.groupBy("entity").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("region_code").alias("regions"), F.count_distinct("lang").alias("langs"), F.count("*").alias("mentions"),
+                                F.bool_or(said.rlike(says_year(2026))).alias("y26"), F.bool_or(said.rlike(says_year(2025))).alias("y25"))
+    name = relops.modal_value(m, ["entity"], "raw_name", "canonical_name")
+    points = s.select("entity", "domains", "mentions", F.least(F.lit(50), 10 * F.col("domains")).alias("domain_points"), F.when(F.col("y26"), 15).when(F.col("y25"), 10).otherwise(5).cast("bigint").alias("recency_points"),
+                      F.least(F.lit(10), F.bround(F.col("regions") * 2.5 + F.col("langs") * 2.5)).cast("bigint").alias("diversity_points"))
+    out = points.join(quality, "entity").join(name.select("entity", "canonical_name"), "entity", "left")
+    total = F.col("domain_points") + F.col("quality_points") + F.col("recency_points") + F.col("diversity_points")
+    return out.select("entity", F.coalesce("canonical_name", "entity").alias("canonical_name"), "domains", "mentions", "domain_points", F.col("quality_points").cast("bigint").alias("quality_points"), "recency_points", "diversity_points",
+                      F.least(F.lit(100), total).cast("bigint").alias("score"))
 
 
 @query(f"""
-SELECT row_number() OVER (ORDER BY score DESC, domains DESC, mentions DESC, entity) AS rank, * FROM ({_SCORED}) ORDER BY rank LIMIT 50""")
+SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, * FROM ({_SCORED}) ORDER BY rank LIMIT 50""")
 def harvest_ranking_top50(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: entities by capped points for domains, best levels, freshness and coverage."""
-    return relops.ranked(scored(spark, d), [F.desc("score"), F.desc("domains"), F.desc("mentions"), F.asc("entity")], 50)
+    """The flagship: entities by capped points for domains, best levels, recency and diversity."""
+    return relops.ranked(scored(spark, d), ORDER, 50)
 
 
 @query(f"""
 WITH s AS ({_SCORED}), top AS (SELECT max(domains) AS md, max(mentions) AS mm FROM s)
-SELECT entity, round(60.0 * domains / md + 40.0 * mentions / mm, 6) AS diagnostic FROM s CROSS JOIN top""")
+SELECT entity, round_even(60.0::DOUBLE * domains / md + 40.0::DOUBLE * mentions / mm, 6) AS diagnostic FROM s CROSS JOIN top""")
 def diagnostic_score(spark: SparkSession, d: str) -> DataFrame:
     """Components as shares of their maximum, weighted; the maxima are one row, joined to all."""
     s = scored(spark, d)
     top = s.agg(F.max("domains").alias("md"), F.max("mentions").alias("mm"))
-    return s.crossJoin(F.broadcast(top)).select("entity", F.round(60.0 * F.col("domains") / F.col("md") + 40.0 * F.col("mentions") / F.col("mm"), 6).alias("diagnostic"))
+    return s.crossJoin(F.broadcast(top)).select("entity", F.bround(60.0 * F.col("domains") / F.col("md") + 40.0 * F.col("mentions") / F.col("mm"), 6).alias("diagnostic"))
 
 
 @query("""
-SELECT brand_id, canonical_brand, round(source_count + 2 * len(coalesce(domains, [])) + 1.5 * len(coalesce(platforms, [])) + 0.5 * least(len(coalesce(evidence_urls, [])), 25), 2)::DOUBLE AS recurrence,
-    CASE WHEN source_count >= 6 AND len(coalesce(domains, [])) >= 3 AND len(coalesce(platforms, [])) >= 2 THEN 'HIGH' WHEN (source_count >= 3 AND len(coalesce(domains, [])) >= 2) OR len(coalesce(evidence_urls, [])) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+SELECT brand_id, canonical_brand, round_even(source_count + 2 * len(coalesce(domains, [])) + 1.5 * len(coalesce(platforms, [])) + 0.5::DOUBLE * least(len(coalesce(evidence_urls, [])), 25), 2)::DOUBLE AS recurrence,
+    CASE WHEN source_count >= 6 AND len(coalesce(domains, [])) >= 3 AND len(coalesce(platforms, [])) >= 2 THEN 'HIGH' WHEN (source_count >= 3 AND len(coalesce(domains, [])) >= 2) OR (len(coalesce(evidence_urls, [])) >= 3 AND len(coalesce(domains, [])) >= 2) THEN 'MEDIUM' ELSE 'LOW' END AS confidence
 FROM brand_accumulators""")
 def recurrence_score(spark: SparkSession, d: str) -> DataFrame:
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     b = table(spark, d, "brand_accumulators").withColumns({"nd": n("domains"), "np": n("platforms"), "nu": n("evidence_urls")})
     score = F.col("source_count") + 2 * F.col("nd") + 1.5 * F.col("np") + 0.5 * F.least("nu", F.lit(25))
-    conf = F.when((F.col("source_count") >= 6) & (F.col("nd") >= 3) & (F.col("np") >= 2), "HIGH").when(((F.col("source_count") >= 3) & (F.col("nd") >= 2)) | (F.col("nu") >= 3), "MEDIUM").otherwise("LOW")
-    return b.select("brand_id", "canonical_brand", F.round(score, 2).alias("recurrence"), conf.alias("confidence"))
+    conf = F.when((F.col("source_count") >= 6) & (F.col("nd") >= 3) & (F.col("np") >= 2), "HIGH").when(((F.col("source_count") >= 3) & (F.col("nd") >= 2)) | ((F.col("nu") >= 3) & (F.col("nd") >= 2)), "MEDIUM").otherwise("LOW")
+    return b.select("brand_id", "canonical_brand", F.bround(score, 2).alias("recurrence"), conf.alias("confidence"))
 
 
 @query("""

@@ -79,17 +79,25 @@ def url_canonical_ordered(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_results").select("result_row_id", urls.canonical_ordered(u).alias("url"), urls.canonical_bare(u).alias("bare"))
 
 
-_SUFFIX = "|".join(s.replace(".", r"\.") for s in sorted(urls.COMPOUND_SUFFIXES, key=len, reverse=True))
+def _registrable_sql(kind: str) -> str:
+    """By labels, as the definition has it: three under a suffix of two labels, else two; addresses of numbers stay where the variant says so."""
+    labels = "string_split(host, '.')"
+    whole = f"len({labels}) <= 2" + (" OR regexp_matches(host, '^[0-9.]+$')" if kind == "probe" else "")
+    suffixes = ", ".join(f"'{s}'" for s in urls.SUFFIXES[kind])
+    return f"CASE WHEN {whole} THEN host WHEN array_to_string({labels}[-2:], '.') IN ({suffixes}) THEN array_to_string({labels}[-3:], '.') ELSE array_to_string({labels}[-2:], '.') END"
+
+
+_VARIANTS = ", ".join(f"{_registrable_sql(k)} AS {k}" for k in urls.SUFFIXES)
 
 
 @query(f"""
-WITH h AS (SELECT {host_sql('original_url')} AS host FROM search_results),
-k AS (SELECT host, regexp_extract(host, '([^.]+\\.(?:{_SUFFIX}))$', 1) AS three, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS two FROM h)
-SELECT CASE WHEN three <> '' THEN three WHEN two <> '' THEN two ELSE host END AS registrable, count(*) AS pages, count(DISTINCT host) AS hosts
-FROM k GROUP BY 1""")
+WITH h AS (SELECT {host_sql('original_url')} AS host FROM search_results UNION ALL SELECT DISTINCT regexp_replace(domain, '[.]example$', '.co.uk') FROM raw_brand_mentions WHERE domain IS NOT NULL)
+SELECT host, {_VARIANTS}, count(*) AS pages FROM h GROUP BY 1""")
 def url_registrable(spark: SparkSession, d: str) -> DataFrame:
+    """The registrable domain of each host in its three variants, also of hosts set under a suffix of two labels."""
     h = table(spark, d, "search_results").select(urls.host(F.col("original_url")).alias("host"))
-    return h.groupBy(urls.registrable(F.col("host")).alias("registrable")).agg(F.count("*").alias("pages"), F.count_distinct("host").alias("hosts"))
+    under = table(spark, d, "raw_brand_mentions").where("domain IS NOT NULL").select(F.regexp_replace("domain", "[.]example$", ".co.uk").alias("host")).distinct()
+    return h.unionAll(under).groupBy("host").agg(F.count("*").alias("pages")).select("host", *[urls.registrable(F.col("host"), k).alias(k) for k in urls.SUFFIXES], "pages")
 
 
 @query(f"""
@@ -124,8 +132,8 @@ def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT brand_id, 'brand_' || substr(sha256(concat_ws('|', coalesce(canonical_brand, ''))), 1, 16) AS stable_brand,
-    'row_' || substr(sha256(concat_ws('|', coalesce(brand_id, ''), coalesce(source_count::VARCHAR, ''))), 1, 12) AS stable_row FROM brand_accumulators""")
+SELECT brand_id, 'brand_' || substr(sha256(length(coalesce(canonical_brand, '')) || ':' || coalesce(canonical_brand, '')), 1, 16) AS stable_brand,
+    'row_' || substr(sha256(length(coalesce(brand_id, '')) || ':' || coalesce(brand_id, '') || length(coalesce(source_count::VARCHAR, '')) || ':' || coalesce(source_count::VARCHAR, '')), 1, 12) AS stable_row FROM brand_accumulators""")
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "brand_accumulators").select("brand_id", ids.stable_id("brand", F.col("canonical_brand")).alias("stable_brand"), ids.stable_id("row", F.col("brand_id"), F.col("source_count"), length=12).alias("stable_row"))
 
@@ -211,3 +219,39 @@ WITH x AS (SELECT mention_row_id, {_BARE} AS b FROM raw_brand_mentions), w AS (S
 SELECT mention_row_id, trim(substr(CASE WHEN len(w) % 2 = 0 AND lower(array_to_string(w[1:h], ' ')) = lower(array_to_string(w[h + 1:2 * h], ' ')) THEN array_to_string(w[1:h], ' ') ELSE b END, 1, 100)) AS candidate FROM h""")
 def clean_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_brand_mentions").select("mention_row_id", text.clean_candidate(F.col("context")).alias("candidate"))
+
+
+_PROBE = r"regexp_extract(trim(coalesce(original_url, '')), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
+_NET = f"regexp_replace(lower({_PROBE.format(2)}), '^[^@]*@', '')"
+_PORTLESS = f"CASE lower({_PROBE.format(1)}) WHEN 'https' THEN regexp_replace({_NET}, ':443$', '') WHEN 'http' THEN regexp_replace({_NET}, ':80$', '') ELSE {_NET} END"
+_ASKED = f"list_sort(list_filter(string_split({_PROBE.format(4)}, '&'), lambda x: x <> ''))"
+_PILOT = f"list_sort(list_filter(string_split({part('original_url', 4)}, '&'), lambda x: x <> ''))"
+_SLUG = "string_split(canonical_hostname, '.')"
+
+
+@query(rf"""
+WITH b AS (SELECT *, lower({_PROBE.format(1)}) || '://' || regexp_replace({_PORTLESS}, '\.$', '') || CASE WHEN {_PROBE.format(3)} = '' THEN '/' ELSE {_PROBE.format(3)} END AS probe,
+    lower({part('original_url', 1)}) || '://' || lower({part('original_url', 2)}) || regexp_replace({part('original_url', 3)}, '/+$', '') AS pilot FROM search_results)
+SELECT result_row_id, CASE WHEN {_PORTLESS} = '' THEN trim(coalesce(original_url, '')) WHEN len({_ASKED}) > 0 THEN probe || '?' || array_to_string({_ASKED}, '&') ELSE probe END AS probe_url,
+    CASE WHEN {part('original_url', 2)} = '' THEN original_url WHEN len({_PILOT}) > 0 THEN pilot || '?' || array_to_string({_PILOT}, '&') ELSE pilot END AS pilot_url,
+    regexp_replace(lower({_SLUG}[CASE WHEN len({_SLUG}) >= 3 AND {_SLUG}[-2] IN ('co', 'com', 'net', 'org') THEN -3 WHEN len({_SLUG}) >= 2 THEN -2 ELSE -1 END]), '[^a-z0-9]', '', 'g') AS slug,
+    coalesce(canonical_hostname = registrable_domain OR ends_with(canonical_hostname, '.' || registrable_domain), false) AS within, coalesce(regexp_full_match(result_id, '[A-Za-z0-9][A-Za-z0-9._:-]*'), false) AS id_ok FROM b""")
+def url_canonical_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Two more canonical forms, the slug of the host, whether it is within its registrable domain, and whether the result's id is one."""
+    u, h = F.col("original_url"), F.col("canonical_hostname")
+    return table(spark, d, "search_results").select("result_row_id", urls.canonical_probe(u).alias("probe_url"), urls.canonical_pilot(u).alias("pilot_url"), urls.domain_slug(h).alias("slug"),
+                                                    urls.belongs_to(h, F.col("registrable_domain")).alias("within"), ids.identifier(F.col("result_id")).alias("id_ok"))
+
+
+_PHONES = "list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(raw_content, ''), '" + extract.PHONE + "'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 7 AND 16)))"
+_LINKS = "list_transform(regexp_extract_all(coalesce(raw_content, ''), 'https?://[^ \t\r\n)>\"]+'), lambda u: regexp_replace(u, '[.,;]+$', ''))"
+_HOSTS = "list_filter(list_transform(regexp_extract_all(coalesce(raw_content, ''), 'https?://[^ \t\r\n)>\"]+'), lambda u: regexp_replace(regexp_extract(lower(u), '^https?://([^/?#:]+)', 1), '^www\\.|\\.$', '')), lambda h: h <> '' AND h <> coalesce(canonical_hostname, ''))"
+
+
+@query(f"""
+SELECT result_row_id, len({_PHONES}) AS phones, array_to_string({_PHONES}, ' | ') AS phone_list, len(list_distinct({_LINKS})) AS addresses, array_to_string(list_sort(list_distinct({_HOSTS})), ' | ') AS linked_domains,
+    len(regexp_extract_all(coalesce(raw_content, ''), '{extract.PRICE_AFTER}', 1)) AS prefixed_prices, sha1(coalesce(title, '')) AS title_sha1 FROM search_results""")
+def contact_facts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("raw_content")
+    return table(spark, d, "search_results").select("result_row_id", F.size(extract.phones(t)).alias("phones"), F.array_join(extract.phones(t), " | ").alias("phone_list"), F.size(extract.addresses(t)).alias("addresses"),
+                                                    F.array_join(extract.linked_domains(t, F.col("canonical_hostname")), " | ").alias("linked_domains"), F.size(extract.prefixed_prices(t)).alias("prefixed_prices"), ids.sha1(F.coalesce("title", F.lit(""))).alias("title_sha1"))

@@ -65,9 +65,9 @@ def early_stop(spark: SparkSession, d: str) -> DataFrame:
 @query(_LAST)
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger kept by a stateful stream, drained; the last update of each key stands."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = shared_path(spark, "ledger")
-    ledger.drained_updates(ledger.live_states(_stream(spark, d)), path)
+    with ledger.rocksdb(spark):
+        ledger.drained_updates(ledger.live_states(_stream(spark, d)), path)
     u = spark.read.parquet(path)
     return u.groupBy("user_id").agg(*[F.max_by(c, F.col("batch")).alias(c) for c in ("events", "errors", "last_type", "last_ts")])
 

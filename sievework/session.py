@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made, which goes at exit.
+    Only where that setting is absent and the master is local (tests, a laptop) a temporary folder is made, which goes at exit; on a cluster
+    a folder of one machine would be another one for each executor, so the setting must be there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="sievework-")
@@ -34,14 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+#: Folders in use, so that they can be removed before the application ends.
+_PATHS: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
+    """A new path in the shared folder, removed by ``released`` or when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _folder(spark, path)
+    fs.deleteOnExit(p)
+    _PATHS.append(path)
     return path
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the intermediate tables written within; results must have been written or collected by then."""
+    before = len(_PATHS)
+    try:
+        yield
+    finally:
+        while len(_PATHS) > before:
+            p, fs = _folder(spark, _PATHS.pop())
+            fs.delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 

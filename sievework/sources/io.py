@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 #: The text that stands for null in CSV, so that empty strings stay empty.
 NULL_MARK = "\\N"
+#: Times are written with all their digits.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_OPTIONS = TIMES | {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, null: str = NULL_MARK) -> DataFrame:
-    """CSV with a header, quoted line ends and a byte-order mark or none."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue=null, emptyValue="", encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, null: str = NULL_MARK, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and a byte-order mark or none. ``multi_line`` reads quoted line ends; then a file can't be split over tasks."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"', nullValue=null, emptyValue="", encoding="UTF-8", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
 def write_csv(df: DataFrame, path: str, null: str = NULL_MARK) -> None:
@@ -23,13 +26,38 @@ def write_csv(df: DataFrame, path: str, null: str = NULL_MARK) -> None:
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """JSON lines. Strict reading fails on a bad line; else a bad line is a row with its text in ``_corrupt_record``."""
     if strict:
-        return spark.read.json(path, schema=schema, mode="FAILFAST")
+        return spark.read.json(path, schema=schema, mode="FAILFAST", **TIMES)
     checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.json(path, schema=checked, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return spark.read.json(path, schema=checked, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **TIMES)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replaces a table: the new one is written whole beside it, then takes its place by a rename, so no reader sees half of either."""
+    spark = df.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    at = {k: spark._jvm.org.apache.hadoop.fs.Path(k) for k in (path, new, old)}
+    fs = at[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at[old], True)
+    if fs.exists(at[path]) and not fs.rename(at[path], at[old]):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(at[new], at[path]):
+        raise OSError(f"can't move {new}")
+    fs.delete(at[old], True)
+
+
+def write_contract(df: DataFrame, path: str, columns: list[str], null: str = NULL_MARK) -> None:
+    """CSV of exactly these columns in their order; a frame that lacks one or has others fails."""
+    if set(df.columns) != set(columns):
+        raise ValueError(f"columns differ from the contract: {sorted(set(df.columns) ^ set(columns))}")
+    write_csv(df.select(*columns), path, null)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.json(path, ignoreNullFields=False)
+    w = df.write.option("ignoreNullFields", False)
+    for k, v in _OPTIONS.items():
+        w = w.option(k, v)
+    w.json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -67,14 +95,28 @@ def explode_envelopes(envelopes: DataFrame, key: str, most: int = 1_000_000) ->
     return ok.select(key, F.posexplode("results").alias("pos", "r")).select(key, (F.col("pos") + 1).alias("rank"), "r.*")
 
 
+def unescaped(x: F.Column) -> F.Column:
+    """The common named entities as their characters, the ampersand last."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
+    return x
+
+
+def split_links(links: F.Column, host: F.Column) -> tuple[F.Column, F.Column]:
+    """(links within the host, links to others): relative ones are within."""
+    to = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^(?:https?:)?//([^/?#:]+)", 1)), r"^www\.", "")
+    return F.filter(links, lambda u: (to(u) == "") | (to(u) == host)), F.filter(links, lambda u: (to(u) != "") & (to(u) != host))
+
+
 def parse_html(html: str) -> dict[str, F.Column]:
     """Title, canonical address, links and JSON-LD blocks of an HTML column, by patterns."""
     h = F.coalesce(F.col(html), F.lit(""))
     return {
-        "title": F.trim(F.regexp_replace(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")),
+        "title": F.trim(F.regexp_replace(unescaped(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " ")),
         "canonical": F.regexp_extract(h, r"(?is)<link[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']*)", 1),
         "links": F.array_distinct(F.regexp_extract_all(h, F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"'#]+)"), F.lit(1))),
         "ld_json": F.regexp_extract_all(h, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)),
+        "footer": F.trim(F.regexp_replace(unescaped(F.regexp_replace(F.regexp_extract(h, r"(?is)<footer[^>]*>(.*?)</footer>", 1), r"(?s)<[^>]*>", " ")), r"\s+", " ")),
     }
 
 

@@ -18,7 +18,7 @@ def test_ordered_replicas_against_all_pairs_of_pages(spark, tmp_path):
     data = pages()
     rows = [(p, p * 100 + i, i, h, n) for p, (h, x) in data.items() for i, n in enumerate(x)] + [(100, 1, 9, "a", None)]
     spark.createDataFrame(rows, MENTIONS).write.parquet(str(tmp_path / "raw_brand_mentions.parquet"))
-    got = graphs.ordered_replicas(spark, str(tmp_path)).collect()
+    got = graphs.replica_pages(spark.read.parquet(str(tmp_path / "raw_brand_mentions.parquet")), 0.6, 3, 0.0).collect()
     assert len(got) == len({(r.a, r.b, r.page) for r in got})
     sides = {}
     for r in got:

@@ -11,7 +11,7 @@ from sievework.streaming import ledger
 def test_csv_keeps_nulls_empty_strings_quotes_and_line_ends(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, ""), (3, None), (4, "x")], "i int, s string")
     io.write_csv(df, str(tmp_path / "c"))
-    assert sorted(io.read_csv(spark, str(tmp_path / "c"), df.schema).collect()) == sorted(df.collect())
+    assert sorted(io.read_csv(spark, str(tmp_path / "c"), df.schema, multi_line=True).collect()) == sorted(df.collect())
     (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfi,s\n1,x\n")
     assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "bom.csv"), df.schema).collect()] == [(1, "x")]
     io.write_csv(df.where("i > 9"), str(tmp_path / "e"))
