@@ -1,35 +1,64 @@
 """Evaluation passages in a training corpus, by a distributed positional inverted index.
 
-The index holds a posting (term, document, positions) for each training token whose term is in the test vocabulary; other terms can't be part of a
-passage. Each window of ``n`` test words is looked up from its rarest term by corpus frequency: that term's positions,
-less its offset, are the places where the window may begin, give or take the slack. The lists of the window's other terms, adjusted by their
-offsets, are intersected with these places; what all terms share is an exact occurrence. Proximity matches keep
+The index holds a posting (term, document, positions) for every term of every training document; it is written once, without a shuffle, and serves any test
+set (``index``, ``search``). Each window of ``n`` test words is looked up from its rarest terms by corpus frequency: their positions,
+less their offsets, are the places where the window may begin, give or take the slack; places that too few of them share are gone at once. The lists of the window's other
+terms, adjusted by their offsets, are intersected with what is left; what all terms share is an exact occurrence. Proximity matches keep
 the places that at least ``least`` of the terms share within a slack.
 
 Defined cases: null or empty texts hold nothing; items shorter than ``n`` words have no window and leak nowhere; repeated
-documents are each reported; repeated items share one set of windows; terms absent from the corpus end their windows
+documents are one, as they share the id; repeated items share one set of windows; terms absent from the corpus end their windows
 at once; texts are indexed whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.textnorm import read
+from sievework.llm.textnorm import look_alikes, reading_table, translated
+from sievework.operators.relops import small
 from sievework.session import written
 
 #: Tags that end a line or a cell part words; other tags, emphasis and soft hyphens stand inside them.
-PARTING = r"(?i)</?(?:address|article|aside|blockquote|br|caption|center|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|body|legend|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\\s/][^<>]*)?>|&nbsp;"
-MARKUP = r"</?[A-Za-z][^<>]*>|[*_`~]+|&shy;"
-#: Test sets up to this many windows are sent to every executor; larger ones are joined by a shuffle.
+PARTING = re.compile(
+    r"</?(?:address|article|aside|blockquote|br|caption|center|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|body|legend|li|main|nav|ol|option|p|pre|section|select"
+    r"|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^<>]*)?>|&nbsp;", re.I)
+MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|[*_`~]+|&shy;")
+WORD = re.compile(r"[^\W_]+")
+#: Test sets up to this many windows are sent to every executor, some 20 MB; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
-#: Terms of a window, beyond those of which one is met, that sort out its places in a proximity search.
-MORE_TERMS = 2
+#: Terms of a window, beyond the rarest, that sort out its places before the others are looked up: in an exact search, in one with slack.
+MORE_EXACT, MORE_NEAR = 1, 2
+
+
+def tokens(text: str, table: dict[int, str]) -> list[str]:
+    """The words of a text in lower case, without markup, in their reading form."""
+    text = unicodedata.normalize("NFC", translated(text, table))
+    if "<" in text or "&" in text:
+        text = PARTING.sub(" ", text)
+    return WORD.findall(MARKUP.sub("", text).lower())
+
+
+def _table() -> dict[int, str]:
+    return reading_table(look_alikes(SparkSession.active()))
 
 
 def words(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.regexp_replace(read(text), PARTING, " "), MARKUP, "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    table = _table()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: tokens(t, table), na_action="ignore")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:
@@ -39,10 +68,30 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     return w.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids")).withColumn("win", F.xxhash64("terms"))
 
 
-def index(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
-    """Postings ``term, doc_id, at`` (one position a row) of the terms in ``vocabulary``."""
-    tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("at", "term"))
-    return tokens.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+def index(docs: DataFrame) -> DataFrame:
+    """Postings ``term, doc_id, positions`` of every term of every document, as a written table."""
+    table = _table()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                terms: list[str] = []
+                ids: list[int] = []
+                ends, flat = [0], []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    at: dict[str, list[int]] = {}
+                    for k, w in enumerate(tokens(text, table)):
+                        at.setdefault(w, []).append(k)
+                    terms += at
+                    ids += [i] * len(at)
+                    for x in at.values():
+                        flat += x
+                        ends.append(len(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["term", "doc_id", "positions"])
+
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("bigint"), "text")
+    return written(rows.mapInArrow(step, "term string, doc_id bigint, positions array<int>"), "postings")
 
 
 def found(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
@@ -51,33 +100,32 @@ def found(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
 
 
 def places(docs: DataFrame, items: DataFrame, n: int, least: int | None = None, slack: int = 0) -> DataFrame:
+    return search(index(docs), items, n, least, slack)
+
+
+def search(postings: DataFrame, items: DataFrame, n: int, least: int | None = None, slack: int = 0) -> DataFrame:
     """``win, doc_id, start, hits, item_ids``: windows of which ``least`` (all) terms stand at their place, give or take ``slack``."""
     least = n if least is None else least
     wins = written(windows(items, n), "windows")
-    small = wins.count() <= BROADCAST_WINDOWS  # a checked size: 200,000 windows of 8 words are some 20 MB
-    hint = F.broadcast if small else (lambda x: x)
-    vocabulary = wins.select(F.explode("terms").alias("term")).distinct()
-    posts = written(index(docs, vocabulary, small), "postings")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    hint = F.broadcast if wins.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    posts = postings.join(hint(wins.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi")
+    df = posts.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
     slots = wins.select("win", F.posexplode("terms").alias("off", "term"))
     # a window with a term the corpus lacks has no exact place; for proximity it needs more terms than one
     ranked = slots.join(hint(df), "term", "left").groupBy("win").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("by_df"))
     # of n terms, any `least` include one of the n - least + 1 rarest, two of one more, and so on
-    more = min(MORE_TERMS, least - 1) if slack else 0
+    more = min(MORE_NEAR if slack else MORE_EXACT, least - 1)
     rare = ranked.select("win", F.explode(F.slice("by_df", 1, n - least + 1 + more)).alias("r")).select("win", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
-    starts = posts.join(hint(rare), "term").select("win", "doc_id", (F.col("at") - F.col("off")).alias("start"), "off")
+    starts = posts.join(hint(written(rare, "rare")), "term").select("win", "doc_id", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"), "off")
     if slack:  # a rare term itself may stand off its place
         starts = starts.withColumn("start", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
-        met = F.bit_count(F.bit_or(F.expr("shiftleft(1L, off)"))) if n <= 64 else F.count_distinct("off")
-        starts = starts.groupBy("win", "doc_id", "start").agg(met.alias("met")).where(F.col("met") > more).drop("met")
-    else:
-        starts = starts.drop("off").distinct()
-    # the other terms of each window, at their offsets, against the postings of the same document
+    met = F.bit_count(F.bit_or(F.expr("shiftleft(1L, off)"))) if n <= 64 else F.count_distinct("off")
+    starts = written(starts.groupBy("win", "doc_id", "start").agg(met.alias("met")).where(F.col("met") > more).drop("met"), "starts")
+    # the other terms of each window, at their offsets, against the postings of the documents that are left
     wanted = starts.join(hint(wins.select("win", "terms")), "win").select("win", "doc_id", "start", F.posexplode("terms").alias("off", "term"))
-    if slack:
-        wanted = wanted.withColumn("near", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("at", F.col("start") + F.col("off") + F.col("near"))
-    else:
-        wanted = wanted.withColumn("at", F.col("start") + F.col("off"))
-    met = wanted.join(posts, ["doc_id", "at", "term"]).groupBy("win", "doc_id", "start").agg(F.count_distinct("off").alias("hits") if slack else F.count("*").alias("hits"))
-    return met.where(F.col("hits") >= least).join(hint(wins.select("win", "item_ids")), "win")
+    left = posts.join(small(starts.select("doc_id").distinct()), "doc_id", "left_semi")
+    place = F.col("start") + F.col("off")
+    there = F.array_contains("positions", place) if not slack else F.exists("positions", lambda p: F.abs(p - place) <= slack)
+    hits = wanted.join(left, ["doc_id", "term"]).where(there).groupBy("win", "doc_id", "start").agg(F.count_distinct("off").alias("hits"))
+    return hits.where(F.col("hits") >= least).join(hint(wins.select("win", "item_ids")), "win")

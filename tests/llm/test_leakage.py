@@ -87,3 +87,12 @@ def test_proximity_with_two_insertions_against_all_places(spark):
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert leakage.found(d, spark.createDataFrame([(1, ITEM)], ITEMS)).count() == 0 and leakage.found(spark.createDataFrame(docs(), DOCS), i).count() == 0
+
+
+def test_one_index_serves_every_test_set(spark):
+    postings = leakage.index(spark.createDataFrame(docs(), DOCS))
+    for items in ([(1, ITEM)], [(7, "feed 2068 that Worgeze sells and other words follow here now"), (8, ITEM)]):
+        got = {(r.doc_id, i) for r in leakage.search(postings, spark.createDataFrame(items, ITEMS), 8).collect() for i in r.item_ids}
+        assert got == brute(docs(), items) and got
+    one = {(r.term, r.doc_id): r.positions for r in postings.collect()}
+    assert one["survey", 1] == [1] and one["filler", 10] == list(range(50_000))
