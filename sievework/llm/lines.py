@@ -36,7 +36,8 @@ def numbered(pages: DataFrame, row_id: str, source: str, url: str, text: str) ->
         F.col(row_id).alias("row_id"), F.xxhash64(source).alias("source_h"), F.coalesce(F.xxhash64(F.when(F.col(url).isNotNull(), F.col(url))), F.lit(0)).alias("url_h"),
         F.col(url).isNull().cast("int").alias("no_url"), line_keys(text).alias("keys"))
     ids = p.select("source_h", "url_h", "no_url").distinct().repartitionByRange("source_h", "url_h", "no_url").sortWithinPartitions("source_h", "url_h", "no_url")
-    ids = ids.withColumn("doc", F.monotonically_increasing_id())
+    # written before it is used, so that a stage that is tried again can't number otherwise
+    ids = written(ids.withColumn("doc", F.monotonically_increasing_id()), "numbers")
     t = p.join(ids, ["source_h", "url_h", "no_url"]).select(
         "row_id", "source_h", F.shiftright("doc", 6).alias("word"), F.expr("shiftleft(1L, cast(doc & 63 as int))").alias("bit"), "no_url", "keys")
     # a rebalance, so that a word of which one address holds very many rows is split over tasks

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sievework.llm import boilerplate, encoding, forms, leakage, lines, mixing, names, neardup
 from sievework.session import table
 
+#: The vocabulary of the public tokenizer that counts tokens.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.found(table(spark, sf_dir, "search_results"))
@@ -75,11 +78,11 @@ def p6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
