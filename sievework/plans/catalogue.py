@@ -1,6 +1,6 @@
 """All queries of the core."""
 
-from sievework.plans import aggregates, graphs, pipelines, quality, ranking, relational, runs, scalars, scores, state  # noqa: F401
+from sievework.plans import aggregates, entities, graphs, pipelines, quality, ranking, relational, runs, scalars, scores, state  # noqa: F401
 from sievework.plans.registry import QUERIES, SQL, Query
 
 
