@@ -79,3 +79,22 @@ def test_contract_columns_and_replacement(spark, tmp_path):
     for v in (1, 2):
         io.replace_table(spark.createDataFrame([(v,)], "v int"), path)
         assert [r.v for r in spark.read.parquet(path).collect()] == [v] and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+
+
+def test_workbooks_keep_sheets_and_their_order(spark, tmp_path):
+    from sievework.sources import xlsx
+
+    first, second = spark.createDataFrame([("a <b> & c", 1, None), ("\x01 x", 2, 0.5)], "t string, n int, v double"), spark.createDataFrame([(7,)], "k int")
+    xlsx.write_xlsx({"top & more": first, "rest": second}, str(tmp_path / "w.xlsx"))
+    rows = sorted((r.row_no, r.cells) for r in xlsx.read_xlsx(spark, str(tmp_path)).collect())
+    assert rows == [(0, ["t", "n", "v"]), (1, ["a <b> & c", "1", None]), (2, [" x", "2", "0.5"])]
+    # listed first, whatever the number of its part
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z, zipfile.ZipFile(tmp_path / "v.xlsx", "w") as out:
+        for n in z.namelist():
+            out.writestr(n, z.read(n).replace(b'r:id="r1"', b'r:id="r9"').replace(b'r:id="r2"', b'r:id="r1"').replace(b'r:id="r9"', b'r:id="r2"') if n == "xl/workbook.xml" else z.read(n))
+    (tmp_path / "w.xlsx").unlink()
+    assert [r.cells for r in xlsx.read_xlsx(spark, str(tmp_path)).orderBy("row_no").collect()] == [["k"], ["7"]]
+    with pytest.raises(ValueError):
+        xlsx.write_xlsx({"a": first}, str(tmp_path / "u.xlsx"), most_rows=1)
