@@ -119,6 +119,13 @@ def oracle_sql() -> dict[str, str]:
         "p3_links": _CAPTURES + """, k AS (SELECT id, array_to_string(w, ' ') AS t, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS class_size FROM w),
             e AS (SELECT x.class_id AS c, count(DISTINCT y.class_id) AS links FROM (SELECT a, b FROM f UNION ALL SELECT b, a FROM f) JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.class_id <> y.class_id GROUP BY 1)
             SELECT k.id AS row_id, k.class_id, class_size, coalesce(links, 0) AS links FROM k LEFT JOIN e ON e.c = k.class_id""",
+        "p3_documents": r"""
+            WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+            k AS (SELECT id, w, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS class_size FROM w),
+            s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM k WHERE id = class_id AND len(w) >= 5)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+            c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), f AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8::DOUBLE * (x.n + y.n - k)),
+            e AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM f UNION ALL SELECT b FROM f) GROUP BY 1)
+            SELECT id AS row_id, class_id, class_size, coalesce(links, 0) AS links FROM k LEFT JOIN e ON e.c = k.class_id""",
         "p4_found": _LINES + " SELECT * FROM f",
         "p4_clean_pages": _LINES + """, g AS (SELECT result_row_id, list(line_no) AS gone FROM f GROUP BY 1)
             SELECT s.result_row_id, array_to_string(CASE WHEN gone IS NULL THEN string_split(s.raw_content, chr(10)) ELSE list_filter(string_split(s.raw_content, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)) END, chr(10)) AS clean_text, coalesce(len(gone), 0) AS lines_removed
