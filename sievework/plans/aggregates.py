@@ -130,3 +130,29 @@ SELECT coalesce(phase, '(all)') AS phase, coalesce(query_type, '(all)') AS query
 def capture_totals(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "search_results").rollup("phase", "query_type").agg(F.count("*").alias("captures"), F.grouping_id().alias("level"))
     return r.select(F.coalesce("phase", F.lit("(all)")).alias("phase"), F.coalesce("query_type", F.lit("(all)")).alias("query_type"), "captures", "level")
+
+
+@query("""
+WITH m AS (SELECT normalized_name AS entity, raw_name, mention_row_id, retrieved_at, CASE source_level WHEN 'A' THEN 25 WHEN 'B' THEN 20 WHEN 'C' THEN 12 WHEN 'D' THEN 5 ELSE 0 END AS w FROM raw_brand_mentions WHERE normalized_name IS NOT NULL AND raw_name IS NOT NULL),
+v AS (SELECT entity, raw_name, count(*) AS n, sum(w) AS w FROM m GROUP BY 1, 2)
+SELECT entity, (SELECT arg_min(raw_name, struct_pack(t := retrieved_at, i := mention_row_id)) FROM m x WHERE x.entity = v.entity) AS first_name,
+    arg_min(raw_name, struct_pack(w := -w, n := -n, l := length(raw_name), r := raw_name)) AS weighted_name, max(w)::BIGINT AS weight, count(*) AS spellings FROM v GROUP BY 1""")
+def display_name_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The name an entity is shown by: the one seen first, and the one with most points of its sources' levels."""
+    from sievework.plans.ranking import HYGIENE_POINTS, level_points
+
+    m = table(spark, d, "raw_brand_mentions").where("normalized_name IS NOT NULL AND raw_name IS NOT NULL").withColumnRenamed("normalized_name", "entity")
+    first = m.groupBy("entity").agg(F.min_by("raw_name", F.struct("retrieved_at", "mention_row_id")).alias("first_name"))
+    v = m.groupBy("entity", "raw_name").agg(F.count("*").alias("n"), F.sum(level_points(F.col("source_level"), HYGIENE_POINTS)).alias("w"))
+    best = v.groupBy("entity").agg(F.min_by("raw_name", F.struct((-F.col("w")).alias("w"), (-F.col("n")).alias("n"), F.length("raw_name").alias("l"), "raw_name")).alias("weighted_name"), F.max("w").alias("weight"), F.count("*").alias("spellings"))
+    return first.join(best, "entity").select("entity", "first_name", "weighted_name", "weight", "spellings")
+
+
+@query("""
+SELECT domain, arg_min(region_code, struct_pack(n := -n, r := region_code, l := lang)) AS region_code, arg_min(lang, struct_pack(n := -n, r := region_code, l := lang)) AS lang, max(n) AS mentions, sum(n)::BIGINT AS all_mentions
+FROM (SELECT domain, region_code, lang, count(*) AS n FROM raw_brand_mentions WHERE domain IS NOT NULL AND region_code IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1""")
+def modal_region_language(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent pair of region and language of each domain."""
+    m = table(spark, d, "raw_brand_mentions").where("domain IS NOT NULL AND region_code IS NOT NULL AND lang IS NOT NULL").groupBy("domain", "region_code", "lang").agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("n"), "region_code", "lang")
+    return m.groupBy("domain").agg(F.min_by("region_code", order).alias("region_code"), F.min_by("lang", order).alias("lang"), F.max("n").alias("mentions"), F.sum("n").alias("all_mentions"))

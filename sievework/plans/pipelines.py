@@ -15,15 +15,17 @@ from sievework.session import shared_path, table
 
 
 @query(f"""
-WITH b AS (SELECT DISTINCT {fold('brand_name')} AS k FROM search_results), b2 AS (SELECT k FROM b WHERE len(string_split(k, ' ')) = 2),
-t AS (SELECT doc_id, string_split({fold('text')}, ' ') AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t))
+WITH b AS (SELECT DISTINCT {fold('brand_name')} AS k FROM search_results), b2 AS (SELECT k, len(string_split(k, ' ')) AS n FROM b WHERE k <> ''), z AS (SELECT DISTINCT n FROM b2),
+t AS (SELECT doc_id, list_filter(string_split({fold('text')}, ' '), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t CROSS JOIN z))
 SELECT doc_id, k AS brand, count(*) AS mentions FROM g JOIN b2 USING (k) GROUP BY 1, 2""")
 def mention_search(spark: SparkSession, d: str) -> DataFrame:
-    """Which brands' two-word names stand in which documents: an equi-join of word pairs with the names, never names by documents."""
-    names = table(spark, d, "search_results").select(text.ascii_fold(F.col("brand_name")).alias("brand")).where(F.size(F.split("brand", " ")) == 2).distinct()
-    w = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
-    pairs = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("brand"))
-    return pairs.groupBy("doc_id", "brand").agg(F.count("*").alias("mentions")).join(names, "brand").select("doc_id", "brand", "mentions")
+    """Which brands' names stand in which documents: an equi-join of word runs with the names, never names by documents. Runs have the lengths that names have, a handful."""
+    names = table(spark, d, "search_results").select(text.ascii_fold(F.col("brand_name")).alias("brand")).where("brand != ''").distinct()
+    lengths = names.agg(F.collect_set(F.size(F.split("brand", " "))).alias("lengths"))  # one row
+    w = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).crossJoin(F.broadcast(lengths))
+    runs = F.flatten(F.transform("lengths", lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    found = w.select("doc_id", F.explode(runs).alias("brand")).groupBy("doc_id", "brand").agg(F.count("*").alias("mentions"))
+    return found.join(names, "brand").select("doc_id", "brand", "mentions")
 
 
 @query("""
@@ -41,12 +43,12 @@ def independence_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, min(ts) AS stopped_at FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n = 2 GROUP BY 1""")
+SELECT user_id, min(ts) AS stopped_at FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, props::JSON ->> '$.k' ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n = 2 GROUP BY 1""")
 def repeated_errors(spark: SparkSession, d: str) -> DataFrame:
-    """When each user met the same error for the second time."""
-    e = table(spark, d, "events").where("event_type = 'error'").select("user_id", "ts", "event_id")
-    two = relops.top_per_group(e, ["user_id"], [F.col("ts"), F.col("event_id")], 2)
-    return two.where("place = 2").select("user_id", F.col("ts").alias("stopped_at"))
+    """When each user met an error of the same signature for the second time."""
+    e = table(spark, d, "events").where("event_type = 'error'").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").alias("signature"))
+    two = relops.top_per_group(e, ["user_id", "signature"], [F.col("ts"), F.col("event_id")], 2)
+    return two.where("place = 2").groupBy("user_id").agg(F.min("ts").alias("stopped_at"))
 
 
 @query("""

@@ -105,10 +105,10 @@ def alias_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT DISTINCT canonical_key AS k FROM candidate_hygiene_audit WHERE length(canonical_key) >= 8)
+WITH k AS (SELECT DISTINCT canonical_key AS k FROM candidate_hygiene_audit WHERE length(canonical_key) >= 6)
 SELECT a.k AS short, b.k AS long FROM k a JOIN k b ON starts_with(b.k, a.k) AND a.k <> b.k""")
 def prefix_homonyms(spark: SparkSession, d: str) -> DataFrame:
-    return relops.prefix_pairs(table(spark, d, "candidate_hygiene_audit"), "canonical_key", 8).select("short", "long")
+    return relops.prefix_pairs(table(spark, d, "candidate_hygiene_audit"), "canonical_key", 6).select("short", "long")
 
 
 @query("""

@@ -190,3 +190,54 @@ def title_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "search_results").where("length(title) >= 30").select(F.col("result_row_id").alias("page_row_id"), "title")
     p = per.join(t, "page_row_id").withColumn("print", F.sha2(F.concat(F.lower("title"), F.lit("\x1e"), F.array_join(F.transform("l", lambda x: x["name"]), "\x1f")), 256))
     return p.groupBy("print").agg(F.count("*").alias("pages"), F.count_distinct("domain").alias("hosts"), F.min("page_row_id").alias("first_page"))
+
+
+#: Words that speak for and against a page that ranks or compares, parameters of the page score.
+FOR_PAGE, AGAINST_PAGE = ("best", "review", "compared", "ranking", "mejores", "meilleurs", "beste", "melhores"), ("login", "cookie", "privacy", "terms of use", "basket")
+_HEAD = "lower(coalesce(title, '') || ' ' || coalesce(content, ''))"
+_COUNT = lambda words: " + ".join(f"contains({_HEAD}, '{w}')::INT" for w in words)
+_LINES = "string_split(replace(coalesce(raw_content, ''), chr(13), ''), chr(10))"
+_PAGES = f"""
+WITH l AS (SELECT *, {_LINES} AS l FROM search_results), c AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^(?:#+ )?[0-9]+[.)] '))) AS cand, len(list_filter(l, lambda x: regexp_matches(x, '^(?:#+ |=+ )'))) AS heads, len(list_filter(l, lambda x: starts_with(x, '|'))) AS tabled FROM l),
+s AS (SELECT *, cand >= 3 OR tabled > 0 OR heads >= 4 AS structural FROM c)
+SELECT result_row_id, canonical_hostname, is_duplicate, structural, cand, greatest(0, least(100, greatest(0, least(15, round_even(15 * coalesce(tavily_score, 0), 0))) + least(30, 3 * ({_COUNT(FOR_PAGE)})) + CASE WHEN structural THEN 15 ELSE 0 END + least(20, 2 * cand)
+    + CASE WHEN contains(coalesce(title, '') || coalesce(raw_content, ''), '2026') THEN 8 WHEN contains(coalesce(title, '') || coalesce(raw_content, ''), '2025') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(coalesce(raw_content, ''), '(?m)^(?:By|Von|Por|Par) ') THEN 7 ELSE 0 END
+    - least(35, 8 * ({_COUNT(AGAINST_PAGE)})) - CASE WHEN coalesce(raw_content, '') = '' THEN 5 ELSE 0 END))::BIGINT AS score FROM s"""
+
+
+def page_scores(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``cand`` (numbered lines), ``structural`` and ``score`` (0 to 100): search score, words for and against, structure, year, author, emptiness."""
+    from sievework.functions import extract
+
+    lines = extract.lines(F.col("raw_content"))
+    n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
+    p = pages.withColumn("cand", n(extract.NUMBERED)).withColumn("structural", (F.col("cand") >= 3) | F.exists(lines, lambda x: x.startswith("|")) | (n(extract.HEADING) >= 4))
+    head = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    count = lambda words: sum((head.contains(w).cast("int") for w in words), F.lit(0))
+    raw = F.coalesce("raw_content", F.lit(""))
+    said = F.concat(F.coalesce("title", F.lit("")), raw)
+    total = (numbers.bounded(F.bround(15 * F.coalesce("tavily_score", F.lit(0.0))), 0, 15) + F.least(F.lit(30), 3 * count(FOR_PAGE)) + F.when(F.col("structural"), 15).otherwise(0) + F.least(F.lit(20), 2 * F.col("cand"))
+             + F.when(said.contains("2026"), 8).when(said.contains("2025"), 5).otherwise(0) + F.when(raw.rlike("(?m)^(?:By|Von|Por|Par) "), 7).otherwise(0) - F.least(F.lit(35), 8 * count(AGAINST_PAGE)) - F.when(raw == "", 5).otherwise(0))
+    return p.withColumn("score", numbers.bounded(total).cast("bigint"))
+
+
+@query(f"SELECT result_row_id, score, structural, structural AND score >= 60 AS eligible, NOT (structural AND score >= 60) AND score >= 45 AS review FROM ({_PAGES})")
+def page_score(spark: SparkSession, d: str) -> DataFrame:
+    """Pages worth mining, and those to look at."""
+    p = page_scores(table(spark, d, "search_results"))
+    ok = F.col("structural") & (F.col("score") >= 60)
+    return p.select("result_row_id", "score", "structural", ok.alias("eligible"), (~ok & (F.col("score") >= 45)).alias("review"))
+
+
+@query(f"""
+WITH p AS ({_PAGES}), h AS (SELECT canonical_hostname AS host, count(*) AS pages, count_if(structural AND score >= 60) AS eligible, sum(score)::BIGINT AS points, count_if(is_duplicate) AS dups FROM p WHERE canonical_hostname IS NOT NULL GROUP BY 1),
+m AS (SELECT domain AS host, count(DISTINCT normalized_name) AS names, count(DISTINCT region_code) AS regions, count(DISTINCT lang) AS langs FROM raw_brand_mentions WHERE domain IS NOT NULL GROUP BY 1)
+SELECT host, pages, eligible, coalesce(names, 0) AS names, least(100, round_even(10 * eligible + least(25, coalesce(names, 0)) + 5 * coalesce(regions, 0) + 5 * coalesce(langs, 0) + 0.25::DOUBLE * points / pages - 3 * dups, 0))::BIGINT AS productivity FROM h LEFT JOIN m USING (host)""")
+def domain_productivity_score(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts by eligible pages, names, regions, languages and mean page score, less repeated captures."""
+    p = page_scores(table(spark, d, "search_results").where("canonical_hostname IS NOT NULL"))
+    h = p.groupBy(F.col("canonical_hostname").alias("host")).agg(F.count("*").alias("pages"), F.count_if(F.col("structural") & (F.col("score") >= 60)).alias("eligible"), F.sum("score").alias("points"), F.count_if("is_duplicate").alias("dups"))
+    m = table(spark, d, "raw_brand_mentions").where("domain IS NOT NULL").groupBy(F.col("domain").alias("host")).agg(F.count_distinct("normalized_name").alias("names"), F.count_distinct("region_code").alias("regions"), F.count_distinct("lang").alias("langs"))
+    j = h.join(m, "host", "left").fillna(0, ["names", "regions", "langs"])
+    total = 10 * F.col("eligible") + F.least(F.lit(25), F.col("names")) + 5 * F.col("regions") + 5 * F.col("langs") + 0.25 * F.col("points") / F.col("pages") - 3 * F.col("dups")
+    return j.select("host", "pages", "eligible", "names", F.least(F.lit(100), F.bround(total)).cast("bigint").alias("productivity"))

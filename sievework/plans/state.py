@@ -52,14 +52,16 @@ def plan_states(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT q.plan_seq, count(*) AS n, count_if(r.is_duplicate) AS dup FROM search_results r JOIN query_plan q USING (query_id) GROUP BY 1),
 w AS (SELECT plan_seq, sum(dup) OVER x AS dups, sum(n) OVER x AS rows FROM b WINDOW x AS (ORDER BY plan_seq ROWS 2 PRECEDING))
-SELECT plan_seq, dups::BIGINT AS dups, rows::BIGINT AS rows, dups > 0.05 * rows AS would_stop FROM w""")
+SELECT plan_seq, dups::BIGINT AS dups, rows::BIGINT AS rows, dups > 0.05 * rows AS would_stop, plan_seq >= (SELECT coalesce(min(plan_seq), 2147483647) FROM w WHERE dups > 0.05 * rows) AS stopped FROM w""")
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
-    """The share of duplicates over the last three steps of the plan against a threshold."""
+    """The share of duplicates over the last three steps of the plan against a threshold, and whether a step before has stopped the run."""
     from pyspark.sql import Window
 
     b = table(spark, d, "search_results").join(relops.small(table(spark, d, "query_plan").select("query_id", "plan_seq")), "query_id").groupBy("plan_seq").agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("dup"))
     w = Window.partitionBy(F.lit(1)).orderBy("plan_seq").rowsBetween(-2, 0)
-    return b.select("plan_seq", F.sum("dup").over(w).alias("dups"), F.sum("n").over(w).alias("rows")).withColumn("would_stop", F.col("dups") > 0.05 * F.col("rows"))
+    s = b.select("plan_seq", F.sum("dup").over(w).alias("dups"), F.sum("n").over(w).alias("rows")).withColumn("would_stop", F.col("dups") > 0.05 * F.col("rows"))
+    first = F.min(F.when(F.col("would_stop"), F.col("plan_seq"))).over(Window.partitionBy(F.lit(1)))  # one row a step of the plan
+    return s.withColumn("stopped", F.coalesce(F.col("plan_seq") >= first, F.lit(False)))
 
 
 @query(_LAST)
