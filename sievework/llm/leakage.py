@@ -116,6 +116,9 @@ def search(postings: DataFrame, items: DataFrame, n: int, least: int | None = No
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("by_df"))
     # of n terms, any `least` include one of the n - least + 1 rarest, two of one more, and so on
     more = min(MORE_NEAR if slack else MORE_EXACT, least - 1)
+    if least == n:  # any terms will do: after the rarest those apart from it, as neighbours often stand together elsewhere
+        first = F.get("by_df", F.lit(0))["off"]
+        ranked = ranked.withColumn("by_df", F.concat(F.slice("by_df", 1, 1), F.sort_array(F.transform(F.slice("by_df", 2, n), lambda x: F.struct((F.abs(x["off"] - first) < n // 3).alias("close"), x.alias("x"))))["x"]))
     rare = ranked.select("win", F.explode(F.slice("by_df", 1, n - least + 1 + more)).alias("r")).select("win", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
     starts = posts.join(hint(written(rare, "rare")), "term").select("win", "doc_id", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"), "off")
     if slack:  # a rare term itself may stand off its place
