@@ -60,3 +60,25 @@ def json_prefix(x: Column) -> Column:
     """The text from its first bracket to its last, for outputs that speak before and after their JSON; null without one."""
     found = F.regexp_extract(x, r"(?s)([\[{].*[\]}])", 1)
     return F.when(found != "", found)
+
+
+COMPANY = r"((?:[A-Z][A-Za-z0-9&.-]+ ){1,4}(?:Ltd|Limited|LLC|Inc|GmbH|Lda|SARL))"
+
+
+def company(x: Column) -> Column:
+    """The first name of a company by its legal form, or null."""
+    found = F.regexp_extract(F.coalesce(x, F.lit("")), COMPANY, 1)
+    return F.when(found != "", found)
+
+
+def places(x: Column, names: tuple[str, ...], most: int = 3) -> Column:
+    """The names of a list that stand in the text as bounded words, in the list's order, joined; AMBIGUOUS where more than ``most`` do, null where none does."""
+    text = F.concat(F.lit(" "), F.coalesce(x, F.lit("")), F.lit(" "))
+    found = F.array_compact(F.array(*[F.when(text.rlike(f"[^A-Za-z]{n}[^A-Za-z]"), F.lit(n)) for n in names]))
+    return F.when(F.size(found) > most, "AMBIGUOUS").when(F.size(found) > 0, F.array_join(found, " | "))
+
+
+def first_claim(x: Column, patterns: dict[str, str]) -> Column:
+    """``label: what it says`` of the first pattern, in their order, that matches; null if none does."""
+    said = [F.when(F.regexp_extract(F.coalesce(x, F.lit("")), p, 1) != "", F.concat(F.lit(label + ": "), F.regexp_extract(x, p, 1))) for label, p in patterns.items()]
+    return F.coalesce(*said)

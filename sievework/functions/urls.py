@@ -101,3 +101,16 @@ def path_score(url: Column, positive: tuple[str, ...], negative: tuple[str, ...]
     p = F.lower(part(url, 3))
     n = lambda words: sum((p.contains(w).cast("int") for w in words), F.lit(0))
     return F.greatest(F.lit(0), F.least(F.lit(100), 45 + 12 * n(positive) - 30 * n(negative)))
+
+
+def redirects_stay(hops: Column, domain: Column) -> Column:
+    """Whether every hop of a chain of redirects leads to the domain or its ``www``; an empty or null chain stays."""
+    return F.coalesce(F.forall(hops, lambda u: F.lower(part(u, 2)).isin("") | (host(u) == F.regexp_replace(F.lower(domain), r"^www\.", ""))), F.lit(True))
+
+
+def names_brand(h: Column, brand: Column) -> Column:
+    """Whether a host holds the brand's compact name, of four letters or more."""
+    from sievework.functions.text import compact_key
+
+    key = compact_key(brand)
+    return F.coalesce((F.length(key) >= 4) & compact_key(h).contains(key), F.lit(False))

@@ -83,3 +83,46 @@ def envelope_results(spark: SparkSession, d: str) -> DataFrame:
     io.write_jsonl(io.pack_envelopes(r, "query_id", "result_row_id", 50), path)
     e = io.explode_envelopes(io.read_jsonl(spark, path, io.envelope_schema(r, "query_id", "result_row_id")), "query_id")
     return e.groupBy("query_id").agg(F.count("*").alias("results"), F.min("result_row_id").alias("first_row"), F.max("result_position").alias("last_position"))
+
+
+@query("SELECT query_id, plan_seq, region_code, lang, category, query_text, included_in_metrics FROM query_plan")
+def json_array_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The plan as one file that holds one array, as responses come, and read again. The plan is 48 rows."""
+    q = table(spark, d, "query_plan")
+    path = shared_path(spark, "array")
+    q.agg(F.to_json(F.collect_list(F.struct(*q.columns)), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
+    return io.read_json_array(spark, path, q.schema)
+
+
+@query("SELECT candidate_id, original_name, corrected_name, mention_count, page_count, domain_count FROM candidate_hygiene_audit WHERE original_name IS NOT NULL")
+def xml_gz_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "candidate_hygiene_audit").where("original_name IS NOT NULL").select("candidate_id", "original_name", "corrected_name", "mention_count", "page_count", "domain_count")
+    path = shared_path(spark, "xmlgz")
+    io.write_xml(c, path, "candidates", "candidate", compress=True)
+    return io.read_xml(spark, path, "candidate", c.schema)
+
+
+@query("""
+WITH f AS (SELECT string_agg(query_id || ' ' || plan_seq, chr(10) ORDER BY plan_seq) || chr(10) AS t FROM query_plan)
+SELECT octet_length(encode(t))::BIGINT AS length, sha256(t) AS digest, 1::BIGINT AS files FROM f""")
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Length and digest of each data file of a written listing, and how many there are, as the executors read them."""
+    path = shared_path(spark, "listing")
+    table(spark, d, "query_plan").select(F.concat_ws(" ", "query_id", F.col("plan_seq").cast("string")).alias("value"), "plan_seq").coalesce(1).sortWithinPartitions("plan_seq").select("value").write.text(path)
+    f = io.inspect_files(spark, path).where("name LIKE 'part-%.txt'")
+    return f.groupBy("length", "digest").agg(F.count("*").alias("files"))
+
+
+@query("""
+SELECT result_row_id, trim(regexp_replace(coalesce(title, ''), '[ \t\n\r]+', ' ', 'g')) AS title, coalesce(canonical_url, '') AS canonical, CASE WHEN original_url IS NULL THEN 1 ELSE 2 END AS links, CASE WHEN original_url IS NULL THEN 0 ELSE 1 END AS elsewhere, trim('Imprint & ' || coalesce(canonical_hostname, '')) AS footer FROM search_results
+WHERE NOT contains(coalesce(title, ''), '<') AND NOT contains(coalesce(original_url, ''), '#')""")
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages set as HTML and parsed again: title, canonical address, links within and elsewhere, footer."""
+    r = table(spark, d, "search_results").where("NOT contains(coalesce(title, ''), '<') AND NOT contains(coalesce(original_url, ''), '#')")
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;"))
+    link = F.when(F.col("original_url").isNotNull(), F.concat(F.lit('<A class="x" href="'), "original_url", F.lit('">there</A>'))).otherwise("")
+    html = F.concat(F.lit("<html><head><TITLE>\n"), safe(F.col("title")), F.lit("</TITLE><link rel='canonical' href='"), F.coalesce("canonical_url", F.lit("")), F.lit("'></head><body><a href='/home'>home</a>"), link,
+                    F.lit("<footer id='f'><p>Imprint &amp;\n"), F.coalesce("canonical_hostname", F.lit("")), F.lit("</p></footer></body></html>"))
+    p = io.parse_html("html")
+    _, elsewhere = io.split_links(p["links"], F.lit("no.host"))
+    return r.select("result_row_id", html.alias("html")).select("result_row_id", p["title"].alias("title"), p["canonical"].alias("canonical"), F.size(p["links"]).alias("links"), F.size(elsewhere).alias("elsewhere"), p["footer"].alias("footer"))

@@ -255,3 +255,19 @@ def contact_facts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("raw_content")
     return table(spark, d, "search_results").select("result_row_id", F.size(extract.phones(t)).alias("phones"), F.array_join(extract.phones(t), " | ").alias("phone_list"), F.size(extract.addresses(t)).alias("addresses"),
                                                     F.array_join(extract.linked_domains(t, F.col("canonical_hostname")), " | ").alias("linked_domains"), F.size(extract.prefixed_prices(t)).alias("prefixed_prices"), ids.sha1(F.coalesce("title", F.lit(""))).alias("title_sha1"))
+
+
+#: Words a claim may be about, and months that stand for the list of places, parameters of the query.
+CLAIMS = {"price": r"costs ([0-9]+[.][0-9]{2} [A-Za-z€]+)", "delay": r"within ([0-9]+ hours)", "channels": r"([0-9]+) channels"}
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTHS_IN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(' ' || coalesce(text, '') || ' ', '[^A-Za-z]{n}[^A-Za-z]') THEN '{n}' END" for n in MONTHS) + "], lambda x: x IS NOT NULL)"
+_CLAIM = "CASE " + " ".join(f"WHEN regexp_extract(coalesce(text, ''), '{p}', 1) <> '' THEN '{k}: ' || regexp_extract(text, '{p}', 1)" for k, p in CLAIMS.items()) + " END"
+
+
+@query(f"""
+SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '{extract.COMPANY}', 1), '') AS company, CASE WHEN len({_MONTHS_IN}) > 3 THEN 'AMBIGUOUS' WHEN len({_MONTHS_IN}) > 0 THEN array_to_string({_MONTHS_IN}, ' | ') END AS listed, {_CLAIM} AS claim,
+    coalesce(length(replace({fold('brand_name')}, ' ', '')) >= 4 AND contains(replace({fold(host_sql('canonical_url'))}, ' ', ''), replace({fold('brand_name')}, ' ', '')), false) AS host_names_brand FROM documents""")
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """Companies, listed words and the first claim of each document, and whether its host is named after its brand."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", extract.company(t).alias("company"), extract.places(t, MONTHS).alias("listed"), extract.first_claim(t, CLAIMS).alias("claim"), urls.names_brand(urls.host(F.col("canonical_url")), F.col("brand_name")).alias("host_names_brand"))

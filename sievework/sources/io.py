@@ -66,8 +66,8 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | None = None) -> DataFrame:
-    """One row an element; .xml and .xml.gz alike."""
-    r = spark.read.format("xml").option("rowTag", row_tag)
+    """One row an element; .xml and .xml.gz alike; spaces around a value are the value's."""
+    r = spark.read.format("xml").option("rowTag", row_tag).option("ignoreSurroundingSpaces", False)
     return (r.schema(schema) if schema else r).load(path)
 
 

@@ -98,3 +98,10 @@ def test_workbooks_keep_sheets_and_their_order(spark, tmp_path):
     assert [r.cells for r in xlsx.read_xlsx(spark, str(tmp_path)).orderBy("row_no").collect()] == [["k"], ["7"]]
     with pytest.raises(ValueError):
         xlsx.write_xlsx({"a": first}, str(tmp_path / "u.xlsx"), most_rows=1)
+
+
+def test_redirects_and_brand_hosts(spark):
+    df = spark.createDataFrame([(["https://www.a.test/x", "http://a.test:80/"], "a.test", "Ab Cd"), (["https://a.test/", "https://b.test/"], "a.test", "x"), ([], "a.test", None), (None, None, None)], "hops array<string>, d string, b string")
+    assert [r[0] for r in df.select(urls.redirects_stay(df.hops, df.d)).collect()] == [True, False, True, True]
+    hosts = spark.createDataFrame([("my-abcd.test", "Ab Cd"), ("abc.test", "Abc"), ("x.test", None), (None, "Ab Cd")], "h string, b string")
+    assert [r[0] for r in hosts.select(urls.names_brand(hosts.h, hosts.b)).collect()] == [True, False, False, False]
