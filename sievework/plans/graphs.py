@@ -45,7 +45,7 @@ def independence_components(spark: SparkSession, d: str) -> DataFrame:
     return components(star).select(F.col("id").alias("host"), "component")
 
 
-#: Lists of so many names or more are compared; two of different hosts are replicas at this overlap and, in ``ordered_replicas``, this agreement in order.
+#: Lists of so many names or more are compared; two of different hosts are probable replicas at this overlap and this agreement in order.
 LEAST_NAMES, OVERLAP, ORDER = 8, 0.85, 0.75
 
 
@@ -118,5 +118,14 @@ def replica_pages(mentions: DataFrame, overlap_least: float, least: int, order_l
 
 @query()
 def ordered_replicas(spark: SparkSession, d: str) -> DataFrame:
-    """Probable replicas: lists of at least eight names on different hosts with overlap 0.85 and agreement in order 0.75, a row for each page of a link."""
-    return replica_pages(table(spark, d, "raw_brand_mentions"), OVERLAP, LEAST_NAMES, ORDER)
+    """Lists of three names or more on different hosts that overlap by 0.6, with the similarity of their order; a row for each page of a link."""
+    return replica_pages(table(spark, d, "raw_brand_mentions"), 0.6, 3, 0.0)
+
+
+@query(_LISTS.format(least=8) + """
+SELECT x.page AS a, y.page AS b FROM l x JOIN l y ON x.page < y.page AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)
+WHERE len(list_intersect(x.names, y.names)) / least(len(x.names), len(y.names))::DOUBLE >= 0.85 UNION ALL SELECT page, page FROM l WHERE low < high""")
+def probable_replicas(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of probable replicas by the definition's bounds: eight names, overlap 0.85 (their agreement in order, 0.75, is asked by ``replica_pages``); pages belong to classes as in ``list_classes``."""
+    _, lists = name_lists(table(spark, d, "raw_brand_mentions"), LEAST_NAMES)
+    return replica_links(lists, OVERLAP, LEAST_NAMES).select("a", "b")
