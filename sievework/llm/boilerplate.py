@@ -28,7 +28,7 @@ from sievework.llm.labelled_pages import FILLERS, PAGES
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 2_000
 #: Generated labelled pages the weights are fitted on.
 TRAINING_PAGES = 500
-#: The least score of a region, and how far its sum may fall below its best: both chosen on labelled pages left out of the fit.
+#: The least score of a region, and how far its sum may fall below its best; for 0 to 2 and 0.7 to 3 results hardly differ (README).
 MIN_SCORE, DROP = 0.5, 2.0
 #: Words on fewer training lines than this share one weight, which is also that of words never seen.
 RARE, OTHER_WORD = 3, "~"
