@@ -10,7 +10,7 @@ from sievework.operators import quality, relops
 from sievework.operators.graph import components
 from sievework.plans import pipelines  # noqa: F401
 from sievework.plans.aggregates import LEVELS
-from sievework.plans.ranking import _ORDER, _SCORED, ORDER, scored
+from sievework.plans.ranking import _ORDER, _SCORED, best_first, scored
 from sievework.plans.registry import QUERIES, SQL, query
 from sievework.plans.scalars import fold
 from sievework.session import table
@@ -90,7 +90,7 @@ SELECT count(*) AS available, (SELECT count(*) FROM p) AS published, greatest(co
 def publication_cap(spark: SparkSession, d: str) -> DataFrame:
     """The published list: eligible entities only, at most 50, never filled up with others; and what was left out."""
     e = scored(spark, d).where("domains >= 2 AND score >= 60")
-    p = e.orderBy(*ORDER).limit(50).agg(F.count("*").alias("published"), F.min("score").alias("least_score"))  # one row
+    p = e.orderBy(*best_first()).limit(50).agg(F.count("*").alias("published"), F.min("score").alias("least_score"))  # one row
     return e.agg(F.count("*").alias("available")).crossJoin(F.broadcast(p)).select("available", "published", F.greatest(F.col("available") - 50, F.lit(0)).alias("truncated"), "least_score")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text
 from sievework.operators import relops
 from sievework.operators.graph import components
-from sievework.plans.ranking import _ORDER, _SCORED, ORDER, scored
+from sievework.plans.ranking import _ORDER, _SCORED, best_first, scored
 from sievework.plans.registry import query
 from sievework.plans.scalars import fold
 from sievework.session import shared_path, table
@@ -73,7 +73,7 @@ WITH s AS (SELECT entity FROM ({_SCORED}) ORDER BY {_ORDER} LIMIT 50), c AS (SEL
 SELECT entity, category, entity || ' ' || category AS query_text, length(entity || ' ' || category) <= 400 AS length_ok FROM s CROSS JOIN c""")
 def plan_expansion(spark: SparkSession, d: str) -> DataFrame:
     """The 50 best entities by each category of the plan. Both sides are small by definition: their product is the plan."""
-    top = scored(spark, d).orderBy(*ORDER).limit(50).select("entity")
+    top = scored(spark, d).orderBy(*best_first()).limit(50).select("entity")
     both = top.crossJoin(relops.small(table(spark, d, "query_plan").select("category").distinct()))
     q = F.concat_ws(" ", "entity", "category")
     return both.select("entity", "category", q.alias("query_text"), (F.length(q) <= 400).alias("length_ok"))
@@ -83,7 +83,7 @@ def plan_expansion(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS ({_SCORED}), r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS n FROM s WHERE domains >= 2)
 SELECT CASE n WHEN 1 THEN 'PRIMARY' ELSE 'RESERVE' END AS pick, entity, score FROM r WHERE n <= 2""")
 def primary_reserve(spark: SparkSession, d: str) -> DataFrame:
-    two = relops.ranked(scored(spark, d).where("domains >= 2"), ORDER, 2)
+    two = relops.ranked(scored(spark, d).where("domains >= 2"), best_first(), 2)
     return two.select(F.when(F.col("rank") == 1, "PRIMARY").otherwise("RESERVE").alias("pick"), "entity", "score")
 
 

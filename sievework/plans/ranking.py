@@ -42,7 +42,10 @@ s AS (SELECT entity, count(DISTINCT domain) AS domains, count(*) AS mentions, le
 SELECT entity, coalesce(canonical_name, entity) AS canonical_name, domains, mentions, domain_points::BIGINT AS domain_points, quality_points::BIGINT AS quality_points, recency_points::BIGINT AS recency_points, diversity_points,
     least(100, domain_points + quality_points + recency_points + diversity_points)::BIGINT AS score FROM s JOIN q USING (entity) LEFT JOIN v USING (entity)"""
 _ORDER = "score DESC, domains DESC, mentions DESC, lower(canonical_name), entity"
-ORDER = [F.desc("score"), F.desc("domains"), F.desc("mentions"), F.lower("canonical_name"), F.asc("entity")]
+
+
+def best_first() -> list[Column]:
+    return [F.desc("score"), F.desc("domains"), F.desc("mentions"), F.lower("canonical_name"), F.asc("entity")]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +68,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, * FROM ({_SCORED}) ORDER BY rank LIMIT 50""")
 def harvest_ranking_top50(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: entities by capped points for domains, best levels, recency and diversity."""
-    return relops.ranked(scored(spark, d), ORDER, 50)
+    return relops.ranked(scored(spark, d), best_first(), 50)
 
 
 @query(f"""

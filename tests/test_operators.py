@@ -98,3 +98,13 @@ def test_contracts(spark):
     assert rows(quality.dangling(refs, "o", "ids", df, "k").select("o", "ref")) == [("o", 9)]
     assert quality.digest(df, "t").first() == quality.digest(df.orderBy(F.desc("v")).select("v", "k"), "t").first()
     assert rows(quality.differences(df, df.where("k = 1"))) == [(2, "y", "left")]
+
+
+def test_the_register_needs_no_session():
+    """Queries and SQL are listed before a session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 80"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
