@@ -48,8 +48,11 @@ SPEAKER = re.compile(r"^\W*[^\W\d_]+\d+\b")
 OWN, BLURB = "=own", "<blurb>"
 
 
+_NO_WORD, _SAYS = re.compile(r"[\W_]+"), re.compile(r"[^\W_]")
+
+
 def key(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+    return _NO_WORD.sub("", text.lower())
 
 
 def features(line: str) -> tuple[set[str], set[str], set[str]]:
@@ -165,7 +168,7 @@ def regions(scores: list[float], drop: float = DROP) -> list[tuple[int, int, flo
 def line_scores(lines: list[str], title: str, opening: str, weights: tuple[dict[str, float], ...], known: dict) -> tuple[list[float], list[int]]:
     """(score of every line, numbers of the lines that say something)."""
     own = {key(title), key(opening)} - {""}
-    longest = max(2 * len(title) + 8, 2 * len(opening) + 8) if own else 0
+    shortest, longest = min(map(len, own), default=0), max(2 * len(title) + 8, 2 * len(opening) + 8) if own else -1
     scores: list[float] = []
     kinds: list[tuple[bool, bool]] = []
     said: list[int] = []
@@ -173,16 +176,17 @@ def line_scores(lines: list[str], title: str, opening: str, weights: tuple[dict[
         line = line.strip()
         got = known.get(line)
         if got is None:
-            k = key(line)
             f = features(line)
-            got = (score(f, weights[0]), score(f, weights[1]) > 0, score(f, weights[2]) > 0, bool(k))
+            s = score(f, weights[0])
+            # whose title a line is, or whether it closes an article, is asked of lines outside only
+            got = (s, s <= 0 and score(f, weights[1]) > 0, s <= 0 and score(f, weights[2]) > 0, _SAYS.search(line) is not None)
             if len(known) >= KEPT:
                 known.clear()
             known[line] = got
         s, head, closing, says = got
         if says:
             said.append(i)
-            if own and len(line) <= longest and key(line) in own:
+            if shortest <= len(line) <= longest and key(line) in own:
                 s, head = s + weights[0].get(OWN, 0.0), False
         scores.append(s if says else 0.0)
         kinds.append((head and s <= 0, closing and s <= 0))
