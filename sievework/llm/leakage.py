@@ -32,8 +32,10 @@ PARTING = re.compile(
     r"|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^<>]*)?>|&nbsp;", re.I)
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|[*_`~]+|&shy;")
 WORD = re.compile(r"[^\W_]+")
-#: Test sets up to this many windows are sent to every executor, some 20 MB; larger ones are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Test sets up to this many words are sent to every executor, some 20 MB; larger ones are joined by a shuffle.
+BROADCAST_WORDS = 200_000
+#: Passages of up to 60 times so many words have the places that are met as bits, longer ones as sets.
+MASKS = 16
 #: Terms of a window, beyond the rarest, that sort out its places before the others are looked up: in an exact search, in one with slack.
 MORE_EXACT, MORE_NEAR = 1, 2
 
@@ -61,11 +63,25 @@ def words(text: F.Column) -> F.Column:
     return F.pandas_udf(run, "array<string>")(text)
 
 
-def windows(items: DataFrame, n: int) -> DataFrame:
-    """``win, terms`` for the distinct n-word windows, and ``item_ids`` that hold them."""
+def passages(items: DataFrame, n: int) -> DataFrame:
+    """``text_id, w, item_ids`` of the distinct word lists of ``n`` words or more, and the items that are them, as a written table."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))).alias("terms"))
-    return w.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids")).withColumn("win", F.xxhash64("terms"))
+    return written(w.groupBy("w").agg(F.collect_set("item_id").alias("item_ids")).withColumn("text_id", F.xxhash64("w")), "passages")
+
+
+def anchors(slots: DataFrame, df: DataFrame, n: int, take: int, apart: bool) -> DataFrame:
+    """``text_id, i, at``: for the window from each place ``i`` of a passage the places of its ``take`` rarest terms.
+
+    ``apart``: any terms will do, so after the rarest those come first that don't stand close to it, as neighbours often stand together elsewhere.
+    """
+    known = slots.join(df, "term", "left").select("text_id", "p", "len", F.coalesce("df", F.lit(0)).alias("df"))
+    each = known.select("text_id", "p", "df", F.explode(F.sequence(F.greatest(F.col("p") - (n - 1), F.lit(0)), F.least(F.col("p"), F.col("len") - n))).alias("i"))
+    ranked = each.groupBy("text_id", "i").agg(F.sort_array(F.collect_list(F.struct("df", "p"))).alias("by_df"))
+    if apart:
+        first = F.get("by_df", F.lit(0))["p"]
+        rest = F.sort_array(F.transform(F.slice("by_df", 2, n), lambda x: F.struct((F.abs(x["p"] - first) < n // 3).alias("close"), x.alias("x"))))["x"]
+        ranked = ranked.withColumn("by_df", F.concat(F.slice("by_df", 1, 1), rest))
+    return ranked.select("text_id", "i", F.slice("by_df", 1, take)["p"].alias("at"))
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -104,31 +120,43 @@ def places(docs: DataFrame, items: DataFrame, n: int, least: int | None = None,
 
 
 def search(postings: DataFrame, items: DataFrame, n: int, least: int | None = None, slack: int = 0) -> DataFrame:
-    """``win, doc_id, start, hits, item_ids``: windows of which ``least`` (all) terms stand at their place, give or take ``slack``."""
+    """``win, doc_id, start, hits, item_ids``: windows of which ``least`` (all) terms stand at their place, give or take ``slack``.
+
+    A posting's place less the place of its term in a passage is a diagonal, the same for all terms of a copied passage, so the windows of a passage are looked up together:
+    one row for each passage, document and diagonal, however many windows meet there.
+    """
     least = n if least is None else least
-    wins = written(windows(items, n), "windows")
-    hint = F.broadcast if wins.count() <= BROADCAST_WINDOWS else (lambda x: x)
-    posts = postings.join(hint(wins.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi")
+    texts = passages(items, n)
+    most = texts.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.max(F.size("w")), F.lit(0))).first()
+    hint = F.broadcast if most[0] <= BROADCAST_WORDS else (lambda x: x)
+    slots = texts.select("text_id", F.size("w").alias("len"), F.posexplode("w").alias("p", "term"))
+    posts = postings.join(hint(slots.select("term").distinct()), "term", "left_semi")
     df = posts.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    slots = wins.select("win", F.posexplode("terms").alias("off", "term"))
-    # a window with a term the corpus lacks has no exact place; for proximity it needs more terms than one
-    ranked = slots.join(hint(df), "term", "left").groupBy("win").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("by_df"))
-    # of n terms, any `least` include one of the n - least + 1 rarest, two of one more, and so on
+    # of n terms, any `least` include one of the n - least + 1 rarest, two of one more, and so on; a term the corpus lacks is the rarest of all
     more = min(MORE_NEAR if slack else MORE_EXACT, least - 1)
-    if least == n:  # any terms will do: after the rarest those apart from it, as neighbours often stand together elsewhere
-        first = F.get("by_df", F.lit(0))["off"]
-        ranked = ranked.withColumn("by_df", F.concat(F.slice("by_df", 1, 1), F.sort_array(F.transform(F.slice("by_df", 2, n), lambda x: F.struct((F.abs(x["off"] - first) < n // 3).alias("close"), x.alias("x"))))["x"]))
-    rare = ranked.select("win", F.explode(F.slice("by_df", 1, n - least + 1 + more)).alias("r")).select("win", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
-    starts = posts.join(hint(written(rare, "rare")), "term").select("win", "doc_id", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"), "off")
+    wins = written(anchors(slots, hint(df), n, n - least + 1 + more, least == n), "anchors")
+    rare = wins.select("text_id", F.explode("at").alias("p")).distinct().join(hint(slots), ["text_id", "p"]).select("text_id", "p", "term")
+    met = posts.join(hint(rare), "term").select("text_id", "doc_id", "p", F.explode(F.transform("positions", lambda q: q - F.col("p"))).alias("diag"))
     if slack:  # a rare term itself may stand off its place
-        starts = starts.withColumn("start", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
-    met = F.bit_count(F.bit_or(F.expr("shiftleft(1L, off)"))) if n <= 64 else F.count_distinct("off")
-    starts = written(starts.groupBy("win", "doc_id", "start").agg(met.alias("met")).where(F.col("met") > more).drop("met"), "starts")
-    # the other terms of each window, at their offsets, against the postings of the documents that are left
-    wanted = starts.join(hint(wins.select("win", "terms")), "win").select("win", "doc_id", "start", F.posexplode("terms").alias("off", "term"))
-    left = posts.join(small(starts.select("doc_id").distinct()), "doc_id", "left_semi")
-    place = F.col("start") + F.col("off")
-    there = F.array_contains("positions", place) if not slack else F.exists("positions", lambda p: F.abs(p - place) <= slack)
-    hits = wanted.join(left, ["doc_id", "term"]).where(there).groupBy("win", "doc_id", "start").agg(F.count_distinct("off").alias("hits"))
-    return hits.where(F.col("hits") >= least).join(hint(wins.select("win", "item_ids")), "win")
+        met = met.withColumn("diag", F.explode(F.sequence(F.col("diag") - slack, F.col("diag") + slack)))
+    # the places of a passage that are met on a diagonal, as words of 60 bits
+    parts = max(-(-most[1] // 60), 1)
+    bits = [F.bit_or(F.when(F.expr(f"p div 60 = {k}"), F.expr("shiftleft(1L, cast(p % 60 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(parts)]
+    by_place = parts <= MASKS
+    met = met.groupBy("text_id", "doc_id", "diag").agg(*(bits if by_place else [F.collect_set("p").alias("got")]))
+    if by_place:
+        met = met.where(sum((F.bit_count(f"m{k}") for k in range(parts)), F.lit(0)) > more).withColumn("got", F.array(*[F.col(f"m{k}") for k in range(parts)]))
+        has = lambda x: F.get("got", F.floor(x / 60).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 60).cast("int"))) != 0
+    else:
+        has = lambda x: F.array_contains("got", x)
+    asked = wins.groupBy("text_id").agg(F.collect_list(F.struct("i", "at")).alias("asked"))  # a passage's own windows
+    starts = met.join(hint(asked), "text_id").select("text_id", "doc_id", "diag", F.filter("asked", lambda w: F.size(F.filter(w["at"], has)) > more)["i"].alias("left"))
+    starts = written(starts.where(F.size("left") > 0), "starts")
+    # all terms of the windows that are left, at their offsets, against the postings of the documents that are left
+    wanted = starts.select("*", F.explode(F.array_distinct(F.flatten(F.transform("left", lambda i: F.sequence(i, i + (n - 1)))))).alias("p")).join(hint(slots.drop("len")), ["text_id", "p"])
+    mine = posts.join(small(starts.select("doc_id").distinct()), "doc_id", "left_semi")
+    place = F.col("diag") + F.col("p")
+    there = F.array_contains("positions", place) if not slack else F.exists("positions", lambda q: F.abs(q - place) <= slack)
+    hits = wanted.join(mine, ["doc_id", "term"]).where(there).groupBy("text_id", "doc_id", "diag").agg(F.first("left").alias("left"), F.collect_set("p").alias("got"))
+    each = hits.select("text_id", "doc_id", "diag", F.explode("left").alias("i"), "got").select("text_id", "doc_id", "diag", "i", F.size(F.filter("got", lambda x: (x >= F.col("i")) & (x < F.col("i") + n))).alias("hits"))
+    return each.where(F.col("hits") >= least).join(hint(texts), "text_id").select(F.xxhash64(F.slice("w", F.col("i") + 1, n)).alias("win"), "doc_id", (F.col("diag") + F.col("i")).alias("start"), "hits", "item_ids")

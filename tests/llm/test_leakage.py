@@ -96,3 +96,15 @@ def test_one_index_serves_every_test_set(spark):
         assert got == brute(docs(), items) and got
     one = {(r.term, r.doc_id): r.positions for r in postings.collect()}
     assert one["survey", 1] == [1] and one["filler", 10] == list(range(50_000))
+
+
+def test_long_passages_and_sets_of_places(spark, monkeypatch):
+    """A passage over several words of bits, and the same with sets instead of bits."""
+    w = [f"w{k}" for k in range(150)]
+    d = [(1, " ".join(w[55:70]), None, None), (2, " ".join(w[118:126]) + " x " + " ".join(w[0:8]), None, None), (3, " ".join(w[10:17]), None, None), (4, "w1 w2 " + " ".join(w), None, None)]
+    items = [(1, " ".join(w)), (2, " ".join(w[60:69]))]
+    want = brute(d, items)
+    for masks in (leakage.MASKS, 0):
+        monkeypatch.setattr(leakage, "MASKS", masks)
+        got = {tuple(r) for r in leakage.found(spark.createDataFrame(d, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+        assert got == want == {(1, 1), (1, 2), (2, 1), (4, 1), (4, 2)}
