@@ -146,11 +146,13 @@ def search(postings: DataFrame, items: DataFrame, n: int, least: int | None = No
     met = met.groupBy("text_id", "doc_id", "diag").agg(*(bits if by_place else [F.collect_set("p").alias("got")]))
     if by_place:
         met = met.where(sum((F.bit_count(f"m{k}") for k in range(parts)), F.lit(0)) > more).withColumn("got", F.array(*[F.col(f"m{k}") for k in range(parts)]))
-        has = lambda x: F.get("got", F.floor(x / 60).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 60).cast("int"))) != 0
+        mask = lambda k: F.aggregate(F.filter("at", lambda x: F.floor(x / 60) == k), F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 60).cast("int"))))
+        wins = wins.select("text_id", "i", F.array(*[mask(k) for k in range(parts)]).alias("at"))
+        meets = lambda w: sum((F.bit_count(F.get("got", F.lit(k)).bitwiseAND(F.get(w["at"], F.lit(k)))) for k in range(parts)), F.lit(0))
     else:
-        has = lambda x: F.array_contains("got", x)
+        meets = lambda w: F.size(F.array_intersect("got", w["at"]))
     asked = wins.groupBy("text_id").agg(F.collect_list(F.struct("i", "at")).alias("asked"))  # a passage's own windows
-    starts = met.join(hint(asked), "text_id").select("text_id", "doc_id", "diag", F.filter("asked", lambda w: F.size(F.filter(w["at"], has)) > more)["i"].alias("left"))
+    starts = met.join(hint(asked), "text_id").select("text_id", "doc_id", "diag", F.filter("asked", lambda w: meets(w) > more)["i"].alias("left"))
     starts = written(starts.where(F.size("left") > 0), "starts")
     # all terms of the windows that are left, at their offsets, against the postings of the documents that are left
     wanted = starts.select("*", F.explode(F.array_distinct(F.flatten(F.transform("left", lambda i: F.sequence(i, i + (n - 1)))))).alias("p")).join(hint(slots.drop("len")), ["text_id", "p"])
