@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from sievework.llm import nicknames
 from sievework.llm.encoding import HYPOTHESES, LOST, RUN, restored, swapped
-from sievework.llm.neardup import candidates
+from sievework.llm.neardup import checked_pairs
 from sievework.operators.graph import components
-from sievework.session import written
+from sievework.session import let_go, tidy, written
 
 #: A word of n names is a common one if it stands beside at least ``WIDE * n`` different rarer words and as many more as chance may add, the root of n.
 WIDE = 0.6
@@ -197,17 +197,26 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 
 def edges(nodes: DataFrame, similarity: float = 0.4, recall: float = 0.99, rows: int = 3, mean: float = 0.77, least: float = 0.55, joined: float = 0.79) -> DataFrame:
-    """``a, b, sim`` (a < b) of similar cores; nodes have ``id, words, parts, given, grams``: similar word by word, each word at least ``least``, or as one string.
+    """``a, b, sim`` (a < b), a written table, of similar cores; nodes have ``id, words, parts, given, grams``: similar word by word, each word at least ``least``, or as one string.
 
     Candidates whose q-grams overlap by less than half the planned similarity met by chance and aren't compared.
     """
-    found = candidates(nodes.select("id", "grams"), similarity, recall, rows)
-    side = lambda k, *to: nodes.select(F.col("id").alias(k), *[F.col(c).alias(t) for c, t in zip(("words", "parts", "given", "grams"), to, strict=True)])
-    pairs = found.join(side("a", "x", "px", "gx", "qx"), "a").join(side("b", "y", "py", "gy", "qy"), "b")
-    common = F.size(F.array_intersect("qx", "qy"))
-    near = pairs.where(common >= similarity / 2 * (F.size("qx") + F.size("qy") - common)).drop("qx", "qy")
-    near = compared(written(near, "near"))
-    return near.where(((F.col("by_word") >= mean) & (F.col("least") >= least)) | (F.col("as_one") >= joined)).select("a", "b", "sim")
+    # a name travels as one string, and its q-grams are made again where it has come to its pair
+    text = nodes.select("id", F.concat_ws("|", *[F.array_join(c, " ") for c in ("words", "parts", "given")]).alias("t"))
+    part = lambda t, i: F.filter(F.split(F.split_part(t, F.lit("|"), F.lit(i)), " "), lambda w: w != "")
+    sides = [part(F.col(t), i + 1).alias(c + k) for t, k in (("ta", "x"), ("tb", "y")) for i, c in enumerate(("", "p", "g"))]
+
+    def check(found: DataFrame) -> DataFrame:
+        pairs = found.join(text.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        pairs = pairs.select("a", "b", *sides).withColumns({"qx": grams("x"), "qy": grams("y")})
+        common = F.size(F.array_intersect("qx", "qy"))
+        near = written(pairs.where(common >= similarity / 2 * (F.size("qx") + F.size("qy") - common)).drop("qx", "qy"), "near")
+        kept = compared(near).where(((F.col("by_word") >= mean) & (F.col("least") >= least)) | (F.col("as_one") >= joined))
+        kept = written(kept.select("a", "b", "sim"), "links")
+        let_go(near)
+        return kept
+
+    return checked_pairs(nodes.select("id", "grams"), similarity, recall, rows, similarity / 2, check)
 
 
 def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,7 +229,7 @@ def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
     rank = written(nodes.join(deg, nodes.id == deg.a, "left").select("id", F.struct("weight", F.coalesce("deg", F.lit(0)).alias("deg"), (-F.col("id")).alias("low")).alias("p")), "rank")
     # nodes without a link are centres at once; the rounds see the others only
     free, open_links = rank.where("p.deg > 0"), links
-    centres = rank.where("p.deg = 0").select("id")
+    centres, placed, at_work = rank.where("p.deg = 0").select("id"), [], False
     while not free.isEmpty():
         e = open_links.select("a", "b").join(free.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(free.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
         e = written(e, "open")
@@ -228,11 +237,17 @@ def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = written(free.join(beaten, "id", "left_anti").select("id"), "centres")
         centres = centres.unionByName(new)
         taken = e.join(new.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id")).union(new).distinct()
-        free, open_links = written(free.join(taken, "id", "left_anti"), "free"), e
+        over = [free, open_links] if at_work else []
+        free, open_links, at_work = written(free.join(taken, "id", "left_anti"), "free"), e, True
+        let_go(*over)
+        placed.append(new)
     centres = written(centres, "centres")
+    let_go(*placed, *([free, open_links] if at_work else []))
     touch = links.join(centres.join(rank, "id").select(F.col("id").alias("b"), "p"), "b").join(centres.select(F.col("id").alias("a")), "a", "left_anti")
     best = touch.groupBy("a").agg(F.max_by("b", F.struct("sim", "p")).alias("centre"))
-    return centres.select("id", F.col("id").alias("centre")).unionByName(best.select(F.col("a").alias("id"), "centre"))
+    star = written(centres.select("id", F.col("id").alias("centre")).unionByName(best.select(F.col("a").alias("id"), "centre")), "stars")
+    let_go(centres, rank)
+    return star
 
 
 def clusters(brands: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -243,15 +258,18 @@ def clusters(brands: DataFrame, candidates: DataFrame) -> DataFrame:
     said = b.unionByName(alias).unionByName(c).where("key IS NOT NULL AND name IS NOT NULL")
     said = written(said.select("key", "own", name_words(F.col("name")).alias("all")).where(F.size("all") > 0).withColumn("form", F.xxhash64("all")), "names")
     core = cores(said.groupBy(F.col("form").alias("id")).agg(F.first("all").alias("all"))).select(F.col("id").alias("form"), "words", "parts", "given", F.xxhash64("words", "parts", "given").alias("id"))
-    said = written(said.select("key", "own", "form").join(core, "form").drop("form"), "cores")
+    spoken, said = said, written(said.select("key", "own", "form").join(core, "form").drop("form"), "cores")
+    let_go(spoken)
     nodes = written(said.groupBy("id").agg(F.first("words").alias("words"), F.first("parts").alias("parts"), F.first("given").alias("given"), F.count_distinct("key").alias("weight")).withColumn("grams", grams("words")), "nodes")
-    one_way = written(edges(nodes), "links")
+    one_way = edges(nodes)
     links = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     star = stars(nodes.select("id", "weight"), links)
+    let_go(one_way)
     # how firmly a name stands for its star: an initial or a damaged name may be any brand's
     middle = nodes.select(F.col("id").alias("centre"), F.col("words").alias("y"), F.col("parts").alias("py"), F.col("given").alias("gy"))
     near = said.join(star, "id").join(middle, "centre").withColumnsRenamed({"words": "x", "parts": "px", "given": "gx"})
     near = written(compared(near).select("key", "own", "centre", ((F.col("sim") >= 0.84) & (F.array_min(F.transform("x", F.length)) > 1)).alias("firm")), "near")
+    let_go(said, nodes, star)
     # a row's aliases are its brand's: the stars of its firm names are one
     firm = near.where("firm")
     said_by = firm.groupBy("key").agg(F.min("centre").alias("low"), F.bool_or(~F.col("own")).alias("by_alias")).where("by_alias").select("key", "low")
@@ -261,5 +279,9 @@ def clusters(brands: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def found(brands: DataFrame, candidates: DataFrame) -> DataFrame:
-    c = written(clusters(brands, candidates), "clusters")
-    return c.alias("x").join(c.alias("y"), F.expr("x.cluster = y.cluster AND x.key < y.key")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    with tidy(brands.sparkSession):
+        c = written(clusters(brands, candidates).groupBy("key").agg(F.collect_set("cluster").alias("all")), "clusters")
+    c = c.select("key", "all", F.explode("all").alias("cluster"))
+    # a pair in several clusters is one in the least of them, so pairs need no shuffle
+    once = "(size(x.all) = 1 OR size(y.all) = 1 OR array_min(array_intersect(x.all, y.all)) = x.cluster)"
+    return c.alias("x").join(c.alias("y"), F.expr(f"x.cluster = y.cluster AND x.key < y.key AND {once}")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))

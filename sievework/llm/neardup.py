@@ -11,18 +11,23 @@ n-gram: it is in the class of its words (rows without any word in one class) but
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.session import written
+from sievework.session import let_go, written
 
 WORD = r"[\p{L}\p{N}]+"
 #: Buckets of more members than this are searched by their rarest grams instead of pair by pair.
 HOT = 500
+#: As many where pairs are checked in the bucket, and the bands hashed at once there.
+HOT_CHECKED, BANDS_AT_ONCE = 5000, 10
+#: 64-bit words of a sketch of a gram set.
+LANES = 4
 
 
 def collision(similarity: float, bands: int, rows: int) -> float:
@@ -108,11 +113,101 @@ def candidates(sets: DataFrame, threshold: float, recall: float, rows: int, hot:
     return found.distinct()
 
 
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def sketched_bands(bands: int, rows: int, only: range, seed: int = 7):
+    """A ``mapInArrow`` step from (id, grams), none empty, to a row (band_h, id, size, s0 to s3) for each band of ``only``: hashes as of ``band_hashes``, a bitmap of the grams beside them. Without bands, one row an id."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(seed)
+        a = (rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1))[only.start * rows : only.stop * rows]
+        b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)[only.start * rows : only.stop * rows]
+        mix = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+        salt = rng.integers(0, 2**63, bands, dtype=np.uint64)[only.start : only.stop]
+        m = len(only)
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy().view(np.uint64)
+            lo = 0
+            while lo < len(ids):
+                # as many ids as have 16,384 grams; one of more alone, in blocks
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 16384, "right")) - 1)
+                flat, size = values[at[lo] : at[hi]], np.diff(at[lo : hi + 1])
+                n = hi - lo
+                bits = np.zeros((n, LANES), np.uint64)
+                np.bitwise_or.at(bits, (np.repeat(np.arange(n), size), (flat >> np.uint64(6)) % np.uint64(LANES)), np.uint64(1) << (flat & np.uint64(63)))
+                if m and n > 1:
+                    sig = np.minimum.reduceat(flat[:, None] * a + b, at[lo:hi] - at[lo], axis=0)
+                elif m:
+                    sig = np.min([(flat[s : s + 4096, None] * a + b).min(axis=0) for s in range(0, len(flat), 4096)], axis=0)[None]
+                if m:
+                    v = ((sig >> np.uint64(20)).reshape(n, m, rows) * mix).sum(axis=2, dtype=np.uint64) + salt
+                    v ^= v >> np.uint64(29)
+                    v *= np.uint64(0xBF58476D1CE4E5B9)
+                    v ^= v >> np.uint64(32)
+                each = lambda x: pa.array(np.repeat(x, max(m, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1).view(np.int64) if m else np.zeros(n, np.int64)), each(ids[lo:hi]), each(size.astype(np.int32)), *[each(bits[:, k].view(np.int64)) for k in range(LANES)]], SKETCHED.names)
+                lo = hi
+
+    return step
+
+
+SKETCHED = pa.schema([("band_h", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), *[(f"s{k}", pa.int64()) for k in range(LANES)]])
+SKETCHED_SQL = "band_h bigint, id bigint, size int, " + ", ".join(f"s{k} bigint" for k in range(LANES))
+
+
+def may_overlap(least: float) -> str:
+    """A condition on sketched x and y that holds for all pairs of a Jaccard similarity of ``least``, and few others.
+
+    Common grams are at most the common bits and, where grams of a set share bits, as many more as the set has fewer bits than grams.
+    """
+    bits = lambda *s: " + ".join("bit_count(" + " & ".join(f"{t}.s{k}" for t in s) + ")" for k in range(LANES))
+    common = f"({bits('x', 'y')} + least(x.size - ({bits('x')}), y.size - ({bits('y')})))"
+    return f"{common} >= {least} * (x.size + y.size - {common})"
+
+
+def checked_pairs(sets: DataFrame, threshold: float, recall: float, rows: int, least: float, check: Callable[[DataFrame], DataFrame], hot: int = HOT_CHECKED, at_once: int = BANDS_AT_ONCE) -> DataFrame:
+    """What ``check`` keeps of the pairs of ``candidates``, less those whose sketches show that they overlap by less than ``least``; a written table.
+
+    ``check`` gets a table ``a, b`` (a < b) and returns a written one that begins with these columns. The number of chance pairs grows with the square of the sets.
+    Most are told in the bucket, where each member has its sketch with it, and are never written or shuffled. ``at_once`` bands are hashed, paired and
+    checked at a time, so that no more of them and of their pairs are on disk; what an earlier round has kept isn't checked again.
+    """
+    bands = plan_bands(threshold, recall, rows)
+    sets = sets.where(F.size("grams") > 0).select("id", "grams")
+    kept: list[DataFrame] = []
+    hot_ids: list[DataFrame] = []
+
+    def keep(pairs: DataFrame) -> None:
+        pairs = pairs.distinct()
+        if kept:
+            pairs = pairs.join(reduce(DataFrame.unionByName, kept).select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        kept.append(check(pairs.where("b IS NOT NULL")))
+        alone = pairs.where("b IS NULL").select(F.col("a").alias("id"))
+        if not alone.isEmpty():
+            hot_ids.append(written(alone, "hot"))
+        let_go(pairs)
+
+    for lo in range(0, bands, at_once):
+        placed = sets.mapInArrow(sketched_bands(bands, rows, range(lo, min(bands, lo + at_once))), SKETCHED_SQL).repartition("band_h")
+        placed = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band_h")))
+        few = placed.where((F.col("n") > 1) & (F.col("n") <= hot)).drop("n")
+        found = few.alias("x").join(few.alias("y"), F.expr(f"x.band_h = y.band_h AND x.id < y.id AND {may_overlap(least)}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        # a member of a hot bucket is noted as a pair without an end: one shuffle is read by all
+        keep(found.unionByName(placed.where(F.col("n") > hot).select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"))))
+    if hot_ids:
+        busy = written(sets.join(reduce(DataFrame.unionByName, hot_ids).distinct(), "id", "left_semi"), "busy")
+        keep(prefix_pairs(busy, threshold, busy.mapInArrow(sketched_bands(bands, rows, range(0)), SKETCHED_SQL).drop("band_h", "size"), least))
+        let_go(busy)
+    got = written(reduce(DataFrame.unionByName, kept), "checked")
+    let_go(*kept, *hot_ids)
+    return got
+
+
+def prefix_pairs(sets: DataFrame, threshold: float, sketch: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """``a, b`` (a < b) of all sets (id, grams) that may have this Jaccard similarity: both have one of the other's rarest grams.
 
     Two sets at the threshold share at least one of the first ``size - ceil(threshold * size) + 1`` grams of each in an order common to all,
-    here from the rarest up, so what very many sets have in common pairs none of them.
+    here from the rarest up, so what very many sets have in common pairs none of them. With a ``sketch`` (id, s0 to s3) pairs that overlap by less than ``least`` are left out.
     """
     g = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("g"))
     df = g.groupBy("g").agg(F.count("*").alias("df"))
@@ -121,7 +216,10 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     alone = F.col("size") - F.size("by_df")
     length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - alone
     heads = written(ordered.where(length > 0).select("id", "size", F.explode(F.slice("by_df", F.lit(1), length.cast("int"))).alias("h")).select("id", "size", F.col("h.g").alias("g")), "heads")
-    near = F.expr(f"x.g = y.g AND x.id < y.id AND least(x.size, y.size) >= {threshold} * greatest(x.size, y.size)")
+    near = f"x.g = y.g AND x.id < y.id AND least(x.size, y.size) >= {threshold} * greatest(x.size, y.size)"
+    if sketch is not None:
+        heads, near = heads.join(sketch, "id"), f"{near} AND {may_overlap(least)}"
+    near = F.expr(near)
     return heads.alias("x").join(heads.alias("y"), near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 

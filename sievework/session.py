@@ -69,6 +69,10 @@ def released(spark: SparkSession) -> Iterator[None]:
             fs.delete(p, True)
 
 
+#: Spark's setting to delete the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
@@ -78,4 +82,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that no later step reads; what was derived from them must have been written itself."""
+    for t in tables:
+        p, fs = _folder(t.sparkSession, t.written_to)
+        fs.delete(p, True)
+        if t.written_to in _PATHS:
+            _PATHS.remove(t.written_to)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go as soon as it ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)

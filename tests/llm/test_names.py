@@ -97,3 +97,16 @@ def test_stars_end_on_long_chains(spark):
 def test_empty_tables(spark):
     b, c = tables(spark)
     assert names.found(b.limit(0), c.limit(0)).count() == 0 and names.clusters(b, c.limit(0)).count() == 3
+
+
+def test_found_leaves_its_result_only(spark):
+    """Intermediate tables and shuffle files go when they have been read, and the session's setting is as before."""
+    from sievework import session
+
+    b, c = tables(spark)
+    before, setting = len(session._PATHS), spark.conf.get(session.CLEANUP)
+    got = names.found(b, c)
+    made = session._PATHS[before:]
+    assert not [p for p in made if any(f"/{n}-" in p for n in ("names", "cores", "nodes", "pairs", "links", "checked", "rank", "open", "free", "centres", "stars"))]
+    assert spark.conf.get(session.CLEANUP) == setting and got.count() == got.distinct().count() == 10 + 6 + 1
+    assert "Aggregate" not in got.filter("true")._jdf.queryExecution().optimizedPlan().toString()

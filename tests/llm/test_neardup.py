@@ -83,3 +83,36 @@ def test_a_hot_bucket_loses_no_pair(spark):
     every = {(r.a, r.b) for r in neardup.prefix_pairs(sets, 0.5).collect()}
     assert want <= every and len(want) > 100 and len(every) < 120 * 149 // 2
     assert want <= cut | {(r.a, r.b) for r in neardup.candidates(sets, 0.5, 0.999, 5).collect()}
+
+
+def test_checked_pairs_are_the_verified_candidates(spark, monkeypatch):
+    """Pairs checked by rounds of bands are those of all bands at once; chance pairs are never written; no round leaves a table behind."""
+    import random
+
+    from sievework import session
+
+    rng = random.Random(5)
+    base = [[rng.randrange(2**62) for _ in range(12)] for _ in range(60)]
+    sets = [(k, base[k % 60][: 12 - k % 4] + [rng.randrange(2**62) for _ in range(k % 4)]) for k in range(180)]
+    sets += [(1000 + k, [rng.randrange(40) for _ in range(9)]) for k in range(150)] + [(5000, []), (5001, [rng.randrange(2**62) for _ in range(20000)])]
+    sets = [(k, list(dict.fromkeys(g))) for k, g in sets]
+    of = dict(sets)
+    jaccard = lambda a, b: len({*of[a]} & {*of[b]}) / len({*of[a]} | {*of[b]})
+    df = spark.createDataFrame(sets, "id long, grams array<long>")
+    asked: list = []
+
+    def check(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return session.written(pairs.where("a < 1000"), "kept")
+
+    whole = {(r.a, r.b) for r in neardup.candidates(df, 0.4, 0.99, 3).collect()}
+    before = len(session._PATHS)
+    got = neardup.checked_pairs(df, 0.4, 0.99, 3, 0.2, check, at_once=9)
+    assert len(session._PATHS) == before + 1
+    assert {p for p in whole if jaccard(*p) >= 0.2} <= {*asked} <= whole and len({*asked}) < len(whole)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(p for p in {*asked} if p[0] < 1000)
+    # members of hot buckets meet by their rarest grams
+    hot = {(r.a, r.b) for r in neardup.checked_pairs(df, 0.4, 0.99, 3, 0.2, lambda p: session.written(p, "kept"), hot=2).collect()}
+    assert hot >= {p for p in whole if jaccard(*p) >= 0.4}
+    monkeypatch.setattr(neardup, "may_overlap", lambda least: "true")
+    assert {(r.a, r.b) for r in neardup.checked_pairs(df, 0.4, 0.99, 3, 0.2, lambda p: session.written(p, "kept")).collect()} == whole
